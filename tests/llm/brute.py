@@ -29,3 +29,20 @@ def jaccard_components(rows, words=3, percent=90):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def repeated_bytes(rows, length=400):
+    """rows: (doc_id, bytes). [(doc_id, n_bytes, n_removed, n_spans, kept)]: every string of the length looked up by its content."""
+    seen = defaultdict(int)
+    for _, data in rows:
+        for k in range(len(data) - length + 1):
+            seen[hash(data[k : k + length])] += 1
+    out = []
+    for i, data in rows:
+        gone = bytearray(len(data))
+        for k in range(len(data) - length + 1):
+            if seen[hash(data[k : k + length])] > 1:
+                gone[k : k + length] = b"\1" * length
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        out.append((i, len(data), sum(gone), spans, bytes(b for b, g in zip(data, gone) if not g)))
+    return out
