@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, jaccard, langid, minhash, mixing, secrets, suffixes, toxicity
+from . import bpe, edits, forest, jaccard, langid, minhash, mixing, secrets, suffixes, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.count_edits(edits.sample_edits(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
