@@ -137,10 +137,14 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
         return each
 
-    rows = map_rows(docs.select("doc_id", "text"), "doc_id long, n_chars long, print binary, body binary", first)
-    placed = rows.join(following(docs), "doc_id", "left")
-    heads = map_rows(placed.filter("before is not null").select("before", "wanted", "body", "print"), "doc_id long, head binary, next binary", cut)
+    kinds = "doc_id long, n_chars long, print binary, body binary"
+    # both joins take the same columns of the same rows, so that these are worked out and dealt out once
+    rows = map_rows(docs.select("doc_id", "text").filter("doc_id is not null"), kinds, first).filter("doc_id is not null")
+    placed = rows.join(following(docs), "doc_id").select("before", "wanted", "body", "print", "n_chars")
+    heads = map_rows(placed, "doc_id long, head binary, next binary", cut)
     heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next")).alias("after")).select("doc_id", "after.head", "after.next")
-    whole = placed.select("doc_id", "n_chars", "print", "body").join(heads, "doc_id", "left")
+    whole = rows.join(heads, "doc_id", "left")
+    alone = map_rows(docs.select("doc_id", "text").filter("doc_id is null"), kinds, first)
+    alone = alone.withColumns({"head": F.lit(None).cast("binary"), "next": F.lit(None).cast("binary")})
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_rows(whole, schema, last)
+    return map_rows(whole, schema, last).unionByName(map_rows(alone, schema, last))
