@@ -23,7 +23,7 @@ def _state(chunks: Column, current: Column) -> Column:
 
 def split_text(text: Column, most: int = 1000) -> Column:
     """Paragraphs joined while their lengths (without separators) fit into `most`; longer ones are cut, the rest goes on."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), lambda x: F.trim(x)), lambda p: p != "")
 
     def step(s: Column, p: Column) -> Column:
         fits = F.length(s["current"]) + F.length(p) <= most
@@ -38,8 +38,8 @@ def split_text(text: Column, most: int = 1000) -> Column:
 
 def chunk_text(text: Column, most: int = 4000) -> Column:
     """Paragraphs of over 15 characters, long ones by line; joined up to `most`; what exceeds one and a half times that is cut."""
-    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), F.trim), lambda p: F.length(p) > 15)
-    lines = F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > most, F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != "")).otherwise(F.array(b))))
+    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 15)
+    lines = F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) > most, F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array(b))))
 
     def step(s: Column, p: Column) -> Column:
         flush = (F.length(s["current"]) + F.length(p) > most) & (s["current"] != "")
@@ -76,7 +76,7 @@ def store_chunks(text: Column, most: int = 720, limit: int = 496) -> Column:
     """split_text for a store with a token limit: parts over the limit (1.35 characters a token) are cut at 0.6 of `most`."""
     small = int(0.6 * most)
     parts = F.flatten(F.transform(split_text(text, most), lambda c: F.when(F.ceil(F.length(c) / 1.35) > limit, pieces(c, small)).otherwise(F.array(c))))
-    return F.filter(F.transform(parts, F.trim), lambda c: c != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda c: c != "")
 
 
 def truncated(text: Column, most: int = 720, limit: int = 512) -> Column:
@@ -111,7 +111,7 @@ def packed(items: Column, limit: int, per: float = 4.0, base: int = 0) -> Column
 
 def paragraphs(text: Column) -> Column:
     """Provisions: paragraphs of over 30 characters; without any, semantic chunks."""
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), F.trim), lambda p: F.length(p) > 30)
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), lambda x: F.trim(x)), lambda p: F.length(p) > 30)
     return F.when(F.size(found) > 0, found).otherwise(semantic_chunks(text))
 
 

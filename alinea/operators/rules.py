@@ -75,7 +75,7 @@ def with_no_hits(rules: DataFrame, results: DataFrame, keys: list[str]) -> DataF
 
 def clean_evidence(texts: Column) -> Column:
     """Trimmed, of ten characters or more, with a letter."""
-    return F.filter(F.transform(texts, F.trim), lambda t: (F.length(t) >= 10) & t.rlike("[A-Za-z]"))
+    return F.filter(F.transform(texts, lambda x: F.trim(x)), lambda t: (F.length(t) >= 10) & t.rlike("[A-Za-z]"))
 
 
 def evidence_rows(results: DataFrame, library: DataFrame, key: str, default: str = "General") -> DataFrame:

@@ -196,7 +196,7 @@ def _(t):
 
 @query("chk_para", f"select doc_id, count(*) as n from (select doc_id, unnest(regexp_split_to_array({LINES}, '\\n\\n+')) as p from documents) where length(trim(p, ' ')) > 30 group by doc_id")
 def _(t):
-    found = F.filter(F.transform(F.split(F.col("text"), r"\n\n+"), F.trim), lambda p: F.length(p) > 30)
+    found = F.filter(F.transform(F.split(F.col("text"), r"\n\n+"), lambda x: F.trim(x)), lambda p: F.length(p) > 30)
     return doubled(t).select("doc_id", F.explode(F.when(F.size(found) > 0, chunk.paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>"))).alias("p")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
