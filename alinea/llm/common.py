@@ -6,11 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,10 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors.
+
+    The shuffle files that went into it are removed when it stands, rather than when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/alinea/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._alinea_path = path
     return out
@@ -54,20 +66,53 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[pd.DataFrame
     return df.mapInPandas(run, schema)
 
 
+def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, list]], list[tuple]]) -> DataFrame:
+    """One call of fn for each value of key (a long), with the group's columns as lists; it returns rows.
+
+    As groupBy(key).applyInPandas, without the cost of a frame for each of many small groups: rows are dealt out and sorted
+    by key, and a task walks through them. Memory holds one group and one batch.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        held: dict[str, list] = {n: [] for n in names}
+        for batch in batches:
+            for n in names:
+                held[n] += list(batch[n])
+            keys = np.array(held[key], "int64")
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            rows, at = [], 0
+            for cut in cuts.tolist():
+                rows += fn({n: v[at:cut] for n, v in held.items()})
+                at = cut
+            held = {n: v[at:] for n, v in held.items()}
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+        if held[key] and (rows := fn(held)):
+            yield pd.DataFrame(rows, columns=columns)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32 of the id as text leaves no remainder modulo 5; such rows are never learnt from."""
     return F.coalesce(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 class Memo(dict):
-    """A dict that works out what it lacks and starts again when full, so that its memory is bounded."""
+    """A dict that works out what it lacks. When full, its entries become old; old ones that are not asked for again go next."""
 
     def __init__(self, fn: Callable, most: int) -> None:
         super().__init__()
-        self.fn, self.most = fn, most
+        self.fn, self.most, self.old = fn, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, written
+from .common import discard, map_groups, map_rows, written
 from .links import components
 
 
@@ -34,8 +35,9 @@ from .links import components
 class Params:
     words: int = 3
     percent: int = 90  # link when 100 * intersection >= percent * union
-    most: int = 256  # classes that are compared in one task at once; tokens of as many classes count as frequent
-    frequent: int = 1 << 20  # frequent tokens that are told to all tasks at most (8 bytes each)
+    most: int = 256  # classes that are compared in one task at once
+    often: int = 16  # tokens of as many classes count as frequent
+    frequent: int = 1 << 20  # frequent tokens that are told to all tasks at most (8 bytes each); beyond, `often` counts double
     rounds: int = 2
 
 
@@ -79,11 +81,11 @@ def sets_of(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def frequent_tokens(classes: DataFrame, p: Params) -> np.ndarray:
-    """The tokens that at least `most` classes have, or a higher number that leaves at most `frequent` of them."""
+    """The tokens that at least `often` classes have, or a higher number that leaves at most `frequent` of them."""
     limit = int(min(1.0, 1.5 * (1 - p.percent / 100)) * (1 << 63) - 1)
-    counts = classes.select(F.explode("low").alias("token")).filter(F.col("token") < limit).groupBy("token").count().filter(F.col("count") >= p.most)
+    counts = classes.select(F.explode("low").alias("token")).filter(F.col("token") < limit).groupBy("token").count().filter(F.col("count") >= p.often)
     counts = written(counts, "frequent")
-    n, least = counts.count(), p.most
+    n, least = counts.count(), p.often
     while n > p.frequent:
         least *= 2
         n = counts.filter(F.col("count") >= least).count()
@@ -99,35 +101,44 @@ def group_keys(classes: DataFrame, p: Params) -> DataFrame:
     step = math.log(100 / p.percent) + 1e-9
 
     def each(batch: pd.DataFrame) -> pd.DataFrame:
-        keys = []
+        keys, often = [], frequent.value
         for n, low in zip(batch["n"], batch["low"], strict=True):
-            rare = (low < limit) & ~np.isin(low, frequent.value)
+            rare = (low < limit) & ~inside(low, often)
             first = np.concatenate([low[rare], low[~rare]])[: prefix_size(n, p.percent)].astype("uint64")
             size = int(math.log(n) / step)
-            both = [first * np.uint64(2) ^ np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for c in (size, size + 1)]
+            larger = max(n, int(math.exp(step * (size + 1))) - 1)  # no set of the next size class is smaller
+            other = n + 1 - -(-p.percent * (n + larger) // (100 + p.percent))
+            both = [first[:k] * np.uint64(2) ^ np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for c, k in ((size, len(first)), (size + 1, max(0, other)))]
             keys.append(np.concatenate(both).astype("int64"))
         return pd.DataFrame({"id": batch["id"], "keys": keys})
 
     return map_rows(classes, "id long, keys array<bigint>", lambda: each).select(F.explode("keys").alias("key"), "id")
 
 
+def inside(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Which of some are in all_, which is sorted."""
+    if not len(all_):
+        return np.zeros(len(some), bool)
+    at = np.searchsorted(all_, some)
+    at[at == len(all_)] = 0
+    return all_[at] == some
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     total = len(a) + len(b)
     least = -(-percent * total // (100 + percent))  # of the intersection
     if min(len(a), len(b)) < least:
         return False
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    return 100 * (i := int((large[at] == small).sum())) >= percent * (total - i)
+    return 100 * (i := int(inside(small, large).sum())) >= percent * (total - i)
 
 
-def open_group(rows: pd.DataFrame, p: Params) -> list[tuple[int, int]]:
+def open_group(rows: dict[str, list], p: Params) -> list[tuple[int, int]]:
     """Links that join all that is linked in the group: of pairs that are joined already, none is compared.
 
     Where rows have a role, those of role 1 are queries against the rest, which are known to be one component at most.
     """
-    ids, sets, known = rows["id"].to_numpy(), [np.asarray(t) for t in rows["tokens"]], rows["component"].to_numpy()
+    ids, sets, known = rows["id"], [np.asarray(t) for t in rows["tokens"]], rows["component"]
     root = {c: c for c in known}
 
     def top(c: int) -> int:
@@ -135,15 +146,13 @@ def open_group(rows: pd.DataFrame, p: Params) -> list[tuple[int, int]]:
             root[c] = c = root[root[c]]
         return c
 
-    asks = rows["role"].to_numpy()
+    asks = np.array(rows["role"])
     order = np.lexsort((ids, [len(s) for s in sets]))
     union = np.unique(np.concatenate([sets[k] for k in order if not asks[k]] or [np.zeros(0, "int64")])) if asks.any() else None
     links = []
     for place, i in enumerate(order):
         if union is not None and asks[i]:
-            at = np.searchsorted(union, sets[i])
-            at[at == len(union)] = 0
-            if not len(union) or 100 * int((union[at] == sets[i]).sum()) < p.percent * len(sets[i]):
+            if 100 * int(inside(sets[i], union).sum()) < p.percent * len(sets[i]):
                 continue  # whatever set of the group it is held against, the overlap is too small
         for j in order[:place][::-1] if union is None else order:
             if union is None and 100 * len(sets[j]) < p.percent * len(sets[i]):
@@ -156,49 +165,102 @@ def open_group(rows: pd.DataFrame, p: Params) -> list[tuple[int, int]]:
     return links
 
 
-def opened(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """members: group, id, component, role; sets: id, tokens. The links found in the groups."""
+def may_link(a: tuple, b: tuple, percent: int) -> bool:
+    """Whether two sets (size, smallest tokens, up to where these are complete) can be similar enough: a bound, never too low."""
+    least = -(-percent * (a[0] + b[0]) // (100 + percent))
+    upto = min(a[2], b[2])
+    own, other = a[1][: np.searchsorted(a[1], upto, "right")], b[1][: np.searchsorted(b[1], upto, "right")]
+    same = int(inside(own, other).sum())
+    return min(a[0] - len(own), b[0] - len(other)) + same >= least
+
+
+def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """members: group, id. group, id of what is left of each group where the smallest tokens alone rule pairs out."""
+    limit = int(min(1.0, 1.5 * (1 - p.percent / 100)) * (1 << 63) - 1)
+
+    def each(rows: dict[str, list]) -> list[tuple]:
+        order = sorted(range(len(rows["id"])), key=lambda k: (rows["n"][k], rows["id"][k]))
+        ids, top = [int(rows["id"][k]) for k in order], list(range(len(order)))
+        sets = [(n, low, (1 << 63) - 1 if n == len(low) else max(limit - 1, int(low[-1]))) for n, low in ((rows["n"][k], rows["low"][k]) for k in order)]
+
+        def first(i: int) -> int:
+            while top[i] != i:
+                top[i] = i = top[top[i]]
+            return i
+
+        for i in range(len(sets)):
+            for j in range(i - 1, -1, -1):
+                if 100 * sets[j][0] < p.percent * sets[i][0]:
+                    break
+                if first(i) != first(j) and may_link(sets[i], sets[j], p.percent):
+                    top[first(i)] = first(j)
+        parts = defaultdict(list)
+        for i in range(len(sets)):
+            parts[first(i)].append(ids[i])
+        out = []
+        for part in parts.values():
+            if len(part) > 1:
+                name = xxhash.xxh64_intdigest(np.array(sorted(part), "int64").tobytes()) - (1 << 63)
+                out += [(name, i) for i in part]
+        return out
+
+    return map_groups(members.join(classes, "id"), "group", "group long, id long", each).distinct()
+
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(open_group(rows, p), columns=["a", "b"])
+def opened(members: DataFrame, p: Params) -> DataFrame:
+    """members: group, id, component, role, tokens. The links found in the groups."""
+    return map_groups(members.select("group", "id", "component", "role", "tokens"), "group", "a long, b long", lambda rows: open_group(rows, p))
 
-    return members.join(sets, "id").groupBy("group").applyInPandas(each, "a long, b long")
+
+def with_tokens(docs: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """rows: id and other columns, one row for each id. Adds tokens, from the texts."""
+
+    def each(batch: pd.DataFrame) -> pd.DataFrame:
+        return batch.drop(columns="text").assign(tokens=[shingles(t, p.words) for t in batch["text"]])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(rows, "id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
+    return map_rows(texts.select("id", "text", *[c for c in rows.columns if c != "id"]), f"id long, {kinds}, tokens array<bigint>", lambda: each)
+
+
+def joined_groups(groups: DataFrame, p: Params) -> DataFrame:
+    """group, id: groups that share members are one, so that a set is fetched once; only where that has over `most` members, they stay."""
+    low = groups.groupBy("group").agg(F.min("id").alias("b"))
+    whole = components(groups.join(low, "group").select(F.col("id").alias("a"), "b"))
+    small = whole.groupBy("component").count().filter(F.col("count") <= p.most).select("component")
+    one = whole.join(small, "component").select(F.xxhash64("component").alias("group"), "id")
+    rest = groups.join(one.select("id"), "id", "left_anti").select("group", "id")
+    return written(one.unionByName(rest), "groups")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """id, component of the classes that are linked with others."""
+    """id, component of the classes that are linked with others. classes: id, n, low, in a table."""
     keys = written(group_keys(classes, p), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("size > 1")
     sizes = written(sizes, "sizes")
     two = sizes.filter("size = 2").select(F.array("low", "high").alias("ids"))
     more = sizes.filter(f"size > 2 and size <= {p.most}").select("key").join(keys, "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
-    groups = two.unionByName(more).distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id"))
-    groups = written(groups, "groups")
-    hot = sizes.filter(f"size > {p.most}").select("key", "size")
-    hot = written(hot.join(keys, "key").select("key", "size", "id"), "hot")
-    wanted = groups.select("id").unionByName(hot.select("id")).distinct()
-
-    def each(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": batch["doc_id"], "tokens": [shingles(t, p.words) for t in batch["text"]]})
-
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    sets = map_rows(texts, "id long, tokens array<bigint>", lambda: each)
-    is_hot = hot.limit(1).count() > 0
-    if is_hot:  # read once for each round
-        sets = written(sets, "sets")
-    members = groups.select("group", "id", F.col("id").alias("component"), F.lit(0).alias("role"))
-    links = written(opened(members, sets, p), "found")
-    for old in (keys, sizes, groups):
+    groups = written(two.unionByName(more).distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")), "groups")
+    hot = written(sizes.filter(f"size > {p.most}").select("key", "size").join(keys, "key").select("key", "size", "id"), "hot")
+    for old in (keys, sizes):
         discard(old)
-    if not is_hot:
+    left = written(narrowed(groups, classes, p), "groups")
+    discard(groups)
+    left = joined_groups(left, p)
+    wanted = left.groupBy("id").agg(F.collect_list("group").alias("groups"))
+    members = with_tokens(docs, wanted, p).select(F.explode("groups").alias("group"), "id", F.col("id").alias("component"), F.lit(0).alias("role"), "tokens")
+    links = written(opened(members, p), "found")
+    discard(left)
+    if not hot.limit(1).count():
         return components(links)
+    sets = written(with_tokens(docs, hot.select("id", F.lit(1).alias("one")).distinct(), p).select("id", "tokens"), "sets")
     for turn in range(p.rounds + 1):
         now = components(links)
         marked = hot.join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / (p.most // 2)))
-        if turn < p.rounds:
-            several = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-            parts = marked.join(several, "key").select(F.xxhash64("key", part).alias("group"), "id", "component", F.lit(0).alias("role"))
+        if turn < p.rounds:  # each class in one of its groups, so that most of what is alike is soon one component
+            one = marked.groupBy("id").agg((F.min if turn % 2 == 0 else F.max)(F.struct("key", "size", "component")).alias("x")).select("id", "x.*")
+            part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / (p.most // 2)))
+            parts = one.select(F.xxhash64("key", part).alias("group"), "id", "component", F.lit(0).alias("role"))
         else:
             counts = marked.groupBy("key", "component").count()
             largest = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.max("count").alias("most"), F.count("*").alias("n")).filter("n > 1")
@@ -208,8 +270,9 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
             stay = rest.select("key", "id", "component", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), counted("blocks").alias("block"), F.lit(0).alias("role"))
             ask = rest.filter("component <> largest").select("key", "id", "component", counted("parts").alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
             parts = stay.unionByName(ask).select(F.xxhash64("key", "part", "block").alias("group"), "id", "component", "role")
-        more = written(opened(parts, sets, p), "found")
+        more = written(opened(parts.join(sets, "id"), p), "found")
         links = written(links.unionByName(more), "found")
+    discard(sets)
     return components(links)
 
 
@@ -220,9 +283,11 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     their own with the same result; if such rows differ in text, either text's links count for the id. Rows with a null
     doc_id are kept with a null component and link with nothing. Other columns of docs are not read.
     """
-    all_sets = written(sets_of(docs, p), "sets")
-    classes = all_sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "low")).alias("first"))
+    first = written(sets_of(docs, p), "sets")
+    all_sets = written(first.select("doc_id", "n", "key"), "sets")
+    classes = first.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "low")).alias("first"))
     classes = written(classes.select("key", F.col("first.doc_id").alias("id"), "first.n", "first.low"), "classes")
+    discard(first)
     found = class_components(docs.filter("doc_id is not null"), classes.select("id", "n", "low"), p)
     by_key = classes.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     rows = all_sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left")
