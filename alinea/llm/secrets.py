@@ -61,7 +61,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    if LONG_HEX.search(text):
+    if max(map(len, text.split()), default=0) >= LEAST["hex"] and LONG_HEX.search(text):
         found += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -81,14 +81,21 @@ def kind_of(token: str) -> str:
     return token if len(token) == 1 else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in token[:64]}))
 
 
-def own_features(token: str, p: Params) -> list[int]:
-    digits, upper, letters = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.isalpha))
+def shape_of(token: str) -> tuple:
+    """What a token looks like, apart from its name: the same for most words."""
     n = len(token)
-    return [code(*x, p.own) for x in (
-        ("size", min(n, 40) // 4), ("digits", -(-4 * digits // n)), ("upper", -(-4 * upper // n)), ("letters", -(-4 * letters // n)),
-        ("shape", kind_of(token) if not token.isalpha() else "word"), ("name", kind_of(token)), ("kinds", len(set(token)) * 4 // n), ("ascii", token.isascii()),
-        ("long", (n >= 16, digits > 0, letters > 0)),
-    )]
+    if token.isalpha():
+        digits, letters, upper, shape = 0, n, 0 if token.islower() else sum(map(str.isupper, token)), "word"
+    else:
+        digits, upper, letters, shape = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.isalpha, token)), kind_of(token)
+    return min(n, 40) // 4, -(-4 * digits // n), -(-4 * upper // n), -(-4 * letters // n), shape, len(set(token)) * 4 // n, token.isascii(), (n >= 16, digits > 0, letters > 0)
+
+
+SHAPES = ("size", "digits", "upper", "letters", "shape", "kinds", "ascii", "long")
+
+
+def own_features(token: str, p: Params) -> list[int]:
+    return [code(k, v, p.own) for k, v in zip(SHAPES, shape_of(token), strict=True)] + [code("name", kind_of(token), p.own)]
 
 
 def file_features(text: str) -> list[int]:
@@ -109,13 +116,14 @@ class Field:
         slots = sum((self.w[k][:, :2].max(1) - self.w[k][:, 2]).max() for k in ("before", "further", "after"))
         slots += 2 * (self.w["file"][:, :2].max(1) - self.w["file"][:, 2]).max()
         self.reach = slots + 2 * (self.w["step"].max() - self.w["step"].min())
-        self.own = Memo(lambda t: self.w["own"][own_features(t, self.p)].sum(0), self.p.most_words)
+        self.shapes = Memo(lambda x: self.w["own"][[code(k, v, self.p.own) for k, v in zip(SHAPES, x, strict=True)]].sum(0), 20_000)
+        self.own = Memo(lambda t: self.shapes[shape_of(t)] + self.w["own"][code("name", kind_of(t), self.p.own)], self.p.most_words // 4)
         self.near = {k: Memo(lambda t, k=k: self.w[k][code(k, kind_of(t), self.p.context)], 20_000) for k in ("before", "further", "after")}
         self.doubtful = Memo(self._doubtful, self.p.most_words)
 
     def settled(self, token: str) -> bool:
-        own = self.own[token]
-        return own[OUTSIDE] - own[:2].max() > self.reach
+        begin, inside, outside = self.own[token].tolist()
+        return outside - max(begin, inside) > self.reach
 
     def _doubtful(self, word: str) -> bool:
         return not all(self.settled(t) for t in TOKEN.findall(word))
@@ -251,8 +259,9 @@ def fit(texts: list[str], p: Params) -> Field:
 
 def train(docs: DataFrame, p: Params) -> Field:
     """From at most sample_rows texts, in the order of a hash of doc_id and text."""
-    drawn = docs.select("doc_id", "text").filter(F.length("text").between(1, p.train_chars))
-    texts = [r.text for r in drawn.orderBy(F.xxhash64("doc_id", "text", F.lit(p.seed)), "text").limit(p.sample_rows).select("text").collect()]
+    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit(p.seed)).alias("draw")).filter(F.length("text").between(1, p.train_chars))
+    first = [r.draw for r in drawn.select("draw").orderBy("draw").limit(p.sample_rows).collect()]  # numbers alone: each task sends as many
+    texts = [r.text for r in drawn.filter(F.col("draw") <= first[-1]).orderBy("draw", "text").limit(p.sample_rows).collect()] if first else []
     return fit(texts, p)
 
 
