@@ -140,7 +140,13 @@ class Utf8Stream:
 EQUAL_PATTERN = {public_tokenizers.PATTERN: r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 #: A single space between two other signs: a pre-token of EQUAL_PATTERN always begins there.
 APART = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
+#: White space other than the blank and the line end.
+RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def is_even(text: str) -> bool:
+    """Every blank stands between two signs that are no white space, as far as a quick look can tell."""
+    return not (text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACE))
 
 
 class Codec:
@@ -148,7 +154,9 @@ class Codec:
 
     def __init__(self, path: str, pattern: str, most_pieces: int = 200_000) -> None:
         ranks = load_ranks(path)
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.by_space = pattern in EQUAL_PATTERN
         self.pattern = regex.compile(EQUAL_PATTERN.get(pattern, pattern))
         transducer = Transducer(ranks)
@@ -161,7 +169,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if self.by_space:
-            first, *words = text.split(" ") if not UNEVEN.search(text) else APART.split(text)
+            first, *words = text.split(" ") if is_even(text) else APART.split(text)
             return self._pieces(first) + b"".join(map(self.words.__getitem__, words))
         if len(text) < LONG_TEXT:
             return self._pieces(text)
