@@ -22,15 +22,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import mixed, powers, stretches
-from .common import discard, map_rows, written
+from .anchors import stretches
+from .common import discard, map_groups, map_rows, written
 
 
 @dataclass(frozen=True)
 class Params:
     length: int = 400
     gram: int = 64
-    most: int = 4096  # differing stretches of one anchor in one suffix array; the strings of more are counted one by one
+    most: int = 512  # differing stretches of one anchor in one suffix array; more are dealt out by longer anchors first
+
+    def grams(self) -> list[int]:
+        """Lengths of anchors, one level after the other; on the last a string is its own anchor, and nothing differs."""
+        return [self.gram, self.length // 2, 4 * self.length // 5, self.length]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -156,80 +160,67 @@ def repeated_starts(contents: list[bytes], offsets: list[int], starts: list[int]
     return out
 
 
-def find_stretches(docs: DataFrame, p: Params) -> DataFrame:
-    """u1, u2 (a row's identity: its id and text), key, c1, c2, first, last, off for each stretch of each text."""
+def find_stretches(docs: DataFrame, p: Params, level: int) -> DataFrame:
+    """docs: u1, u2 (a row's identity), data. u1, u2, key, c1, c2, first, last, off for each stretch."""
+    gram = p.grams()[level]
 
     def each(batch: pd.DataFrame) -> pd.DataFrame:
         rows, u1, u2 = [], [], []
-        for a, b, text in zip(batch["u1"], batch["u2"], batch["text"], strict=True):
-            found = stretches(text.encode("utf-8", "surrogatepass"), p.length, p.gram)
+        for a, b, data in zip(batch["u1"], batch["u2"], batch["data"], strict=True):
+            found = stretches(data, p.length, gram)
             rows.append(found)
             u1.append(np.full(len(found), a))
             u2.append(np.full(len(found), b))
         table = np.concatenate(rows).astype("int64")
         return pd.DataFrame({"u1": np.concatenate(u1), "u2": np.concatenate(u2), "key": table[:, 0], "c1": table[:, 1], "c2": table[:, 2], "first": table[:, 3].astype("int32"), "last": table[:, 4].astype("int32"), "off": table[:, 5].astype("int32")})
 
-    return map_rows(docs.filter(F.octet_length("text") >= p.length).select("u1", "u2", "text"), "u1 long, u2 long, key long, c1 long, c2 long, first int, last int, off int", lambda: each)
+    return map_rows(docs.filter(F.octet_length("data") >= p.length).select("u1", "u2", "data"), "u1 long, u2 long, key long, c1 long, c2 long, first int, last int, off int", lambda: each)
 
 
-def contents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def contents_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """wanted: u1, u2, key, c1, c2, first, last, off, size. key, c1, c2, off, starts, size, content."""
     lists = wanted.groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "c1", "c2", "first", "last", "off", "size")).alias("at"))
-    texts = docs.select("u1", "u2", "text").dropDuplicates(["u1", "u2"]).join(lists, ["u1", "u2"])
-
-    def fn(length: int):
-        def each(batch: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            for text, at in zip(batch["text"], batch["at"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                rows += [(r["key"], r["c1"], r["c2"], r["off"], r["last"] - r["first"] + 1, r["size"], data[r["first"] : r["last"] + length]) for r in at]
-            return pd.DataFrame(rows, columns=["key", "c1", "c2", "off", "starts", "size", "content"])
+    rows = docs.select("u1", "u2", "data").dropDuplicates(["u1", "u2"]).join(lists, ["u1", "u2"]).select("data", "at")
 
-        return each
+    def each(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for data, at in zip(batch["data"], batch["at"], strict=True):
+            out += [(r["key"], r["c1"], r["c2"], r["off"], r["last"] - r["first"] + 1, r["size"], data[r["first"] : r["last"] + p.length]) for r in at]
+        return pd.DataFrame(out, columns=["key", "c1", "c2", "off", "starts", "size", "content"])
 
-    return texts, fn
+    return map_rows(rows, "key long, c1 long, c2 long, off int, starts int, size int, content binary", lambda: each)
 
 
-def repeated_parts(docs: DataFrame, found: DataFrame, p: Params) -> DataFrame:
-    """u1, u2, a, b: byte ranges of the texts that are covered by repeated strings. found: the table of find_stretches()."""
+def repeated_parts(docs: DataFrame, p: Params, level: int = 0) -> DataFrame:
+    """docs: u1, u2, data; rows of one identity are equal, and each counts. u1, u2, a, b: byte ranges that repeated strings cover."""
+    found = written(find_stretches(docs, p, level), "stretches")
     contents = found.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "off")).alias("one"))
     contents = written(contents, "contents")
-    keys = contents.groupBy("key").agg(F.count("*").cast("int").alias("size")).filter("size > 1")
-    wanted = written(contents.join(keys, "key").select("one.*", "key", "c1", "c2", "size"), "wanted")
-    texts, fn = contents_of(docs, wanted)
-    kinds = "key long, c1 long, c2 long, off int, starts int, size int, content binary"
-    pieces = map_rows(texts.select("text", "at"), kinds, lambda: fn(p.length))
-    if hot := wanted.filter(F.col("size") > p.most).limit(1).count() > 0:
-        pieces = written(pieces, "pieces")
-
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = repeated_starts(list(rows["content"]), rows["off"].tolist(), rows["starts"].tolist(), p.length)
-        out = [(c1, c2, a, b) for c1, c2, some in zip(rows["c1"], rows["c2"], runs, strict=True) for a, b in some]
-        return pd.DataFrame(out, columns=["c1", "c2", "low", "high"]).assign(key=rows["key"].iloc[0])[["key", "c1", "c2", "low", "high"]]
-
-    kinds = "key long, c1 long, c2 long, low int, high int"
-    runs = pieces.filter(F.col("size") <= p.most).groupBy("key").applyInPandas(compared, kinds)
-    if hot:  # the exact way for anchors of very many stretches: every string by its own hashes
-
-        def strings(batch: pd.DataFrame) -> pd.DataFrame:
-            parts = []
-            for c in batch.itertuples():
-                codes = np.frombuffer(c.content, "uint8").astype("uint64") + np.uint64(1)
-                up, down = powers(1 << 16)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * up[: len(codes)])])
-                raw = (sums[p.length :] - sums[: -p.length]) * down[: c.starts]
-                parts.append(pd.DataFrame({"key": c.key, "c1": c.c1, "c2": c.c2, "low": np.arange(c.starts, dtype="int32"), "h1": mixed(raw).astype("int64"), "h2": (mixed(raw ^ np.uint64(0xABCDEF)) ^ np.uint64(c.key & ((1 << 64) - 1))).astype("int64")}))
-            return pd.concat(parts)
-
-        each = map_rows(pieces.filter(F.col("size") > p.most), "key long, c1 long, c2 long, low int, h1 long, h2 long", lambda: strings)
-        twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.collect_list(F.struct("key", "c1", "c2", "low")).alias("at")).filter("n > 1")
-        runs = runs.unionByName(twice.select(F.explode("at").alias("x")).select("x.key", "x.c1", "x.c2", "x.low", F.col("x.low").alias("high")))
-    whole = contents.filter("n > 1").select("key", "c1", "c2", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
-    marks = written(whole.unionByName(runs), "marks")
-    discard(wanted)
+    marks = contents.filter("n > 1").select("key", "c1", "c2", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
+    done = [found, contents]
+    if level < len(p.grams()) - 1:
+        keys = contents.groupBy("key").agg(F.count("*").cast("int").alias("size")).filter("size > 1")
+        wanted = written(contents.join(keys, "key").select("one.*", "key", "c1", "c2", "size"), "wanted")
+        done.append(wanted)
+        pieces = contents_of(docs, wanted.filter(F.col("size") <= p.most), p)
+
+        def compared(rows: dict[str, list]) -> list[tuple]:
+            runs = repeated_starts(rows["content"], rows["off"], rows["starts"], p.length)
+            return [(key, c1, c2, a, b) for key, c1, c2, some in zip(rows["key"], rows["c1"], rows["c2"], runs, strict=True) for a, b in some]
+
+        marks = marks.unionByName(map_groups(pieces, "key", "key long, c1 long, c2 long, low int, high int", compared))
+        many = wanted.filter(F.col("size") > p.most)
+        if many.limit(1).count():
+            ids = {"u1": F.xxhash64(F.lit(1), "key", "c1", "c2"), "u2": F.xxhash64(F.lit(2), "key", "c1", "c2")}
+            hot = written(contents_of(docs, many, p).select("key", "c1", "c2", F.col("content").alias("data")).withColumns(ids), "hot")
+            inner = repeated_parts(hot.select("u1", "u2", "data"), p, level + 1)
+            back = hot.select("u1", "u2", "key", "c1", "c2").join(inner, ["u1", "u2"])
+            marks = marks.unionByName(back.select("key", "c1", "c2", F.col("a").alias("low"), (F.col("b") - p.length).alias("high")))
+            done += [hot, inner]
+    marks = written(marks, "marks")
     hits = found.select("key", "c1", "c2", "u1", "u2", "first", "last").join(marks, ["key", "c1", "c2"])
     out = written(hits.select("u1", "u2", (F.col("first") + F.col("low")).alias("a"), (F.coalesce(F.col("first") + F.col("high"), F.col("last")) + p.length).alias("b")).distinct(), "ranges")
-    for old in (contents, marks):
+    for old in [*done, marks]:
         discard(old)
     return out
 
@@ -253,9 +244,7 @@ def dedup(docs: DataFrame, p: Params = Params(), texts: bool = False) -> DataFra
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumns({"u1": F.xxhash64(F.lit(1), "doc_id", "text"), "u2": F.xxhash64(F.lit(2), "doc_id", "text")})
-    found = written(find_stretches(rows, p), "stretches")
-    ranges = repeated_parts(rows, found, p)
-    discard(found)
+    ranges = repeated_parts(rows.select("u1", "u2", F.col("text").cast("binary").alias("data")), p)
     lists = ranges.groupBy("u1", "u2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
     def each(batch: pd.DataFrame) -> pd.DataFrame:
