@@ -2,8 +2,11 @@
 
 A word is the bag of its character n-grams, so an unseen misspelling shares most of its vectors with the word it comes from.
 Words with an insult may be few in a long text, so the average is taken over windows of words, and a text is as toxic as its
-most toxic window. A word counts where the text has it first; windows cover all of these words, so the whole text. In training the windows of toxic rows that count are chosen anew in each
-round: the one that scores highest, as for the hardest window of a clean row.
+most toxic window. Windows cover all words of the text in order. A word that comes again counts again unless it stands among
+the few before it, where it is in the same window anyway; so a word said over and over does not fill a window. A stretch without
+blanks may be a whole text (Chinese, Thai, minified code), so a long word goes into windows as several pieces, which together
+have all of its n-grams. In training the windows of toxic rows that count are chosen anew in each round: the one that scores highest, as
+for the hardest window of a clean row.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ class Params:
     dim: int = 8
     low: int = 3
     high: int = 5
+    longest: int = 64  # a word of more bytes is cut into pieces
+    piece: int = 16  # bytes of such a piece; 40 of them, a window, are about as much text as 40 words
     window: int = 40
     stride: int = 20
+    near: int = 10  # a word that is among so many before it does not count again; under stride, so that windows have both places
     prior: int = 100  # n-grams without meaning that each window also holds, so that short ones are not rash
     rounds: int = 6
     rate: float = 0.5
@@ -37,14 +43,38 @@ class Params:
     seed: int = 7
 
 
-def grams(word: str, p: Params) -> list[int]:
-    marked = f"<{word}>".encode("utf-8", "surrogatepass")[:400]
+def grams(word: str | bytes, p: Params) -> list[int]:
+    """The buckets of a word's n-grams, or of those of a piece, which has no marks of its own."""
+    marked = word if isinstance(word, bytes) else f"<{word}>".encode("utf-8", "surrogatepass")
     found = {marked[i : i + n] for n in range(p.low, p.high + 1) for i in range(len(marked) - n + 1)} or {marked}
     return [zlib.crc32(g) % p.buckets for g in found]
 
 
-def words_of(text: str | None) -> list[str]:
-    return list(dict.fromkeys((text or "").lower().split()))
+def pieces(words: list[str], p: Params) -> list[str | bytes]:
+    """The words, in the place of a long one its pieces, each with the last high - 1 bytes of the one before it."""
+    out: list[str | bytes] = []
+    for word in words:
+        marked = f"<{word}>".encode("utf-8", "surrogatepass") if 4 * len(word) + 2 > p.longest else b""
+        if len(marked) <= p.longest:
+            out.append(word)
+        else:
+            both = p.high - 1
+            out += [marked[i : i + p.piece] for i in range(0, len(marked) - both, p.piece - both)]
+    return out
+
+
+def words_of(text: str | None, p: Params) -> list[str | bytes]:
+    """The words in order, long ones in pieces, without those that are among the p.near before them."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) * (1 if text and text.isascii() else 4) + 2 > p.longest:
+        words = pieces(words, p)
+    out: list[str | bytes] = []
+    last: dict[str | bytes, int] = {}
+    for word in words:
+        if len(out) - last.get(word, -p.near - 1) > p.near:
+            last[word] = len(out)
+            out.append(word)
+    return out
 
 
 def windows(sums: np.ndarray, counts: np.ndarray, p: Params) -> np.ndarray:
@@ -69,12 +99,12 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
     table = rng.normal(0, 1 / p.dim, (p.buckets, p.dim))
     out = np.zeros((p.dim, 2))
     bias = np.zeros(2)
-    seen: dict[str, int] = {}
+    seen: dict[str | bytes, int] = {}
     bags: list[list[int]] = []
     rows = []
     for text in texts:
         ids = []
-        for word in words_of(text):
+        for word in words_of(text, p):
             if word not in seen:
                 seen[word] = len(bags)
                 bags.append(grams(word, p))
@@ -136,14 +166,14 @@ def log_odds(model: tuple[np.ndarray, float], p: Params):
     """A function from a text to the log odds of its most toxic window."""
     folded, start = model
 
-    def word(w: str) -> complex:
+    def word(w: str | bytes) -> complex:
         bag = grams(w, p)
         return complex(float(folded[bag].sum()), len(bag))
 
     memo = Memo(word, p.most_words)
 
     def of(text: str | None) -> float:
-        words = words_of(text)
+        words = words_of(text, p)
         values = np.fromiter(map(memo.__getitem__, words), complex, len(words))
         return float(windows(values.real, values.imag, p).max() + start)
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -250,6 +251,36 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 403
 
 
+def test_toxicity_reads_whole_texts():
+    p, rng = toxicity.Params(), random.Random(13)
+    words = [a + b for a in ("on", "the", "er", "an", "ti", "ha") for b in ("ing", "le", "ed", "sh", "or", "ne")]
+    many = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [sign.join(many(rng.randint(5, 60)) + ["idiot", "moron"] * (k % 2) + many(rng.randint(5, 60))) for k in range(240) for sign in (" ", "_", "漢")]
+    of = toxicity.log_odds(toxicity.fit(texts, [k % 2 for k in range(240) for _ in range(3)], p), p)
+    for sign in "_,漢\u200b":
+        clean = many(900)
+        assert of(sign.join(clean)) < 0 <= of(sign.join([*clean[:800], "idiot", "moron", *clean[800:]])), sign
+    # words that stood apart before are a passage where they stand together
+    spread = [w for k in range(40) for w in [f"bad{k}", *many(60)]]
+    weights = np.zeros(p.buckets)
+    for k in range(40):
+        weights[toxicity.grams(f"bad{k}", p)] = 1
+    for w in words:
+        weights[toxicity.grams(w, p)] = 0
+    of = toxicity.log_odds((weights, 0.0), p)
+    assert of(" ".join(spread + [f"bad{k}" for k in range(40)])) > 5 * of(" ".join(spread))
+
+
+def test_toxicity_pieces_have_all_grams():
+    p, rng = toxicity.Params(), random.Random(14)
+    for n in [*range(50, 90), 400, 5000]:
+        word = "".join(rng.choice("abé漢😀") for _ in range(n))
+        marked = f"<{word}>".encode()
+        want = {zlib.crc32(marked[i : i + k]) % p.buckets for k in range(p.low, p.high + 1) for i in range(len(marked) - k + 1)}
+        assert {g for w in toxicity.words_of(word, p) for g in toxicity.grams(w, p)} == want
+    assert toxicity.words_of("a a b a " + " ".join(map(str, range(11))) + " b a", p) == ["a", "b", *map(str, range(11)), "b", "a"]
+
+
 def test_language_id(spark):
     rng = random.Random(12)
     parts = {"en": "the ing and ted ly er".split(), "de": "ung sch ein keit lich ver".split(), "fr": "eau tion oui é ère les".split()}
