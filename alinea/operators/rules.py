@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.functions.text import library_key
+from alinea.operators.docmap import found_items
 
 NO_EVIDENCE = "No relevant text was found for this rule."
 
@@ -35,10 +36,10 @@ def distinct_queries(rules: DataFrame, queries: str) -> DataFrame:
 
 def module_of(rules: DataFrame, modules: DataFrame, default: str) -> DataFrame:
     """rules: rule_id, name, category, module_key; modules: module, place, words (array). The key that a rule names, else the
-    first module one of whose words is in its name or category, else the default. There are few modules."""
-    words = modules.select("module", "place", F.explode("words").alias("word"))
+    first module one of whose words is in its name or category, else the default."""
+    words = modules.select("module", "place", F.explode("words").alias("word")).withColumn("word", F.lower("word"))
     text = F.lower(F.concat_ws(" ", "name", "category"))
-    hits = rules.select("rule_id", text.alias("t")).join(F.broadcast(words.limit(1000)), F.col("t").contains(F.lower("word")))
+    hits = found_items(rules.select("rule_id", text.alias("t")), words, "rule_id", "t", "word")
     first = hits.groupBy("rule_id").agg(F.min_by("module", "place").alias("found"))
     return rules.join(first, "rule_id", "left").withColumn("module", F.coalesce("module_key", "found", F.lit(default))).drop("found")
 

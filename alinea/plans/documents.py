@@ -329,9 +329,13 @@ def _(t):
 
 @query("map_coords", "select doc_id, item_id, strpos(d.text, b.text[:80]) as at from documents d join benchmark b on contains(d.text, b.text[:80])")
 def _(t):
-    parts = t.benchmark.select("item_id", F.substring("text", 1, 80).alias("part")).limit(100_000)  # the library's size is checked
-    rows = t.documents.select("doc_id", "text").join(F.broadcast(parts), F.col("text").contains(F.col("part")))
-    return rows.select("doc_id", "item_id", F.instr("text", F.col("part")).cast("long").alias("at"))
+    items = t.benchmark.select("item_id", F.substring("text", 1, 80).alias("part"))  # as the SQL; whole items are the next query's
+    return docmap.found_items(t.documents, items, "doc_id", "text", "part")
+
+
+@query("map_coords_whole")
+def _(t):
+    return docmap.found_items(t.documents, t.benchmark.select("item_id", F.col("text").alias("part")), "doc_id", "text", "part")
 
 
 @query("map_offset", "select conv_id, turn, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations qualify count(*) over (partition by conv_id, turn) = 1")
