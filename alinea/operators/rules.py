@@ -56,10 +56,10 @@ def keyword_judge(evidence: DataFrame, keys: list[str], text: str, red: list[str
     share of texts that speak for the status."""
     has = lambda words: F.lower(text).rlike(r"\b(" + "|".join(words) + r")\b")
     each = evidence.withColumn("_s", F.when(has(red), 3).when(has(amber), 2).otherwise(1))
-    out = each.groupBy(*keys).agg(F.max("_s").alias("_top"), F.count("*").alias("n_evidence"), F.collect_list("_s").alias("_all"))
+    counts = each.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))  # three rows at most for each of keys
+    out = counts.groupBy(*keys).agg(F.max("_s").alias("_top"), F.sum("_n").alias("n_evidence"), F.max_by("_n", "_s").alias("_agree"))
     status = F.when(F.col("_top") == 3, "Red").when(F.col("_top") == 2, "Amber").otherwise("Green")
-    agree = F.size(F.filter("_all", lambda s: s == F.col("_top")))
-    return out.select(*keys, status.alias("status"), (agree / F.col("n_evidence")).alias("confidence"), "n_evidence")
+    return out.select(*keys, status.alias("status"), (F.col("_agree") / F.col("n_evidence")).alias("confidence"), "n_evidence")
 
 
 def judged(payloads: DataFrame, judge: Callable[[DataFrame], DataFrame] | None, keys: list[str], **words) -> DataFrame:
