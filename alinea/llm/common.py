@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode alone one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"{tempfile.gettempdir()}/alinea-checkpoints"
     return folder.rstrip("/")
 
@@ -54,16 +59,36 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def slices(batch: pa.RecordBatch, size: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes at most (one row at least), so that no step holds a whole batch twice."""
+    step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def arrow_kinds(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """mapInPandas with a state per task: fn() makes it, what it returns maps each batch."""
+    """Like mapInPandas with a state per task: fn() makes it, what it returns maps a frame. Frames are small, whatever the batches."""
+    kinds = arrow_kinds(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
         for batch in batches:
-            if len(batch):
-                yield each(batch)
+            for some in slices(batch):
+                yield pa.RecordBatch.from_pandas(each(some.to_pandas(integer_object_nulls=True)), schema=kinds, preserve_index=False)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def as_list(array: pa.Array) -> list:
+    """A column's values; those of a column of lists of integers are numpy views of the batch."""
+    if pa.types.is_list(array.type) and pa.types.is_integer(array.type.value_type):
+        values, ends = array.values.to_numpy(zero_copy_only=False), array.offsets.to_pylist()
+        return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return array.to_pylist()
 
 
 def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, list]], list[tuple]]) -> DataFrame:
@@ -72,27 +97,32 @@ def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, lis
     As groupBy(key).applyInPandas, without the cost of a frame for each of many small groups: rows are dealt out and sorted
     by key, and a task walks through them. Memory holds one group and one batch.
     """
-    names = df.columns
+    kinds, names = arrow_kinds(schema), df.columns
+
+    def output(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in schema.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {n: [] for n in names}
+        rows: list[tuple] = []
         for batch in batches:
-            for n in names:
-                held[n] += list(batch[n])
-            keys = np.array(held[key], "int64")
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            rows, at = [], 0
+            for n, column in zip(names, batch.columns, strict=True):
+                held[n] += as_list(column)
+            cuts = np.flatnonzero(np.diff(np.array(held[key], "int64"))) + 1
+            at = 0
             for cut in cuts.tolist():
                 rows += fn({n: v[at:cut] for n, v in held.items()})
                 at = cut
+                if len(rows) >= 10_000:
+                    yield output(rows)
+                    rows = []
             held = {n: v[at:] for n, v in held.items()}
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-        if held[key] and (rows := fn(held)):
-            yield pd.DataFrame(rows, columns=columns)
+        if held[key]:
+            rows += fn(held)
+        if rows:
+            yield output(rows)
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column | str) -> Column:

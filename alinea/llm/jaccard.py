@@ -295,7 +295,10 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, p: Params = Params(words=5, percent=80)) -> DataFrame:
-    """docs with one row of each group of near copies, that of the smallest doc_id; all columns stay. Repeated rows are one."""
+    """docs with one row of each group of near copies, that of the smallest doc_id; all columns stay. Repeated rows are one.
+
+    Rows of one doc_id with different texts are different rows: they stay or go together, as links name the doc_id.
+    """
     leaders = jaccard_components(docs, p).filter("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.filter("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = docs.filter("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return ids.unionByName(docs.filter("doc_id is null"))

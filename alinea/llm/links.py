@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: a, b (long, not null). Returns id, component (the smallest id reachable) for each id in links.
 
     Every id points at the smallest id that it has heard of. In a round each id learns what its neighbours point at, tells the
@@ -18,7 +18,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = links.select("a", "b").filter("a <> b").distinct()
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     points = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to")), "points")
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(points.select(F.col("id").alias("b"), "to"), "b").select(F.col("a").alias("id"), "to")
         heard = written(points.unionByName(seen).groupBy("id").agg(F.min("to").alias("to")), "heard")
         told = points.join(heard.withColumnRenamed("to", "new"), "id").select(F.col("to").alias("id"), F.col("new").alias("to"))
@@ -32,4 +32,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not changed:
             discard(both)
             return points.select("id", F.col("to").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows
+from .common import Memo, map_rows, slices
 
 # The patterns of the base scan, their least lengths, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -319,9 +319,10 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", p: Params = Params())
         field.w = shared.value
         field.freeze()
         for batch in batches:
-            texts = [t if t is None else masked(t, all_spans(t, field)[1], mask) for t in batch.column("text").to_pylist()]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for some in slices(batch):
+                texts = [t if t is None else masked(t, all_spans(t, field)[1], mask) for t in some.column("text").to_pylist()]
+                at = some.schema.get_field_index("text")
+                yield some.set_column(at, some.schema.field(at), pa.array(texts, some.schema.field(at).type))
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, map_rows
+from .common import Memo, held_out, map_rows, slices
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Params:
     prior: int = 100  # n-grams without meaning that each window also holds, so that short ones are not rash
     rounds: int = 6
     rate: float = 0.5
-    most_words: int = 200_000  # words that a task remembers at once
+    most_words: int = 100_000  # words of either age that a task remembers
     seed: int = 7
 
 
@@ -213,6 +213,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
     def kept(batches):
         of = log_odds(shared.value, p)
         for batch in batches:
-            yield batch.filter(pa.array([of(t) < 0 for t in batch.column("text").to_pylist()], "bool"))
+            for some in slices(batch):
+                yield some.filter(pa.array([of(t) < 0 for t in some.column("text").to_pylist()], "bool"))
 
     return docs.mapInArrow(kept, docs.schema)
