@@ -5,13 +5,15 @@ and only a group whose token union can overlap a query enough is opened:
 
 * Two sets of at least the wanted similarity share a token among the first few of either in any fixed order of tokens, and
   their sizes are close. A group is what shares one of these tokens and a size class; the key is one entry of the matrix of
-  tokens and groups. Tokens of very many classes come last in the order, so that they found few groups.
-* A group of two or more is opened: its sets are fetched and compared, unless a bound on the overlap or a link already known
-  between two of them makes that needless.
-* A group of more than `most` classes is dealt out into parts. The parts of some rounds link what is alike; then each class
-  outside the group's largest component is a query against all parts, which the union of a part's tokens lets it skip.
-
-Nothing is left out: parts and rounds decide where a pair is compared, not whether.
+  tokens and groups. Rare tokens come first in the order, so that groups are small.
+* A group of two or more is opened: its sets are fetched and their overlaps counted at once, unless a bound on the overlap
+  makes that needless.
+* A group of more than `most` classes is dealt out into cells. A class's home is the largest group that it belongs to. Two
+  rounds link what is alike in cells of one home; then each class that is not of a group's largest component (or not of the
+  home that most of the group share, where these are compared) is a query against all cells of the group, which the union of a
+  cell's tokens lets it skip.
+
+Nothing is left out: cells and rounds decide where a pair is compared, not whether.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ class Params:
     percent: int = 90  # link when 100 * intersection >= percent * union
     most: int = 256  # classes that are compared in one task at once
     often: int = 16  # tokens of as many classes count as frequent
-    frequent: int = 1 << 20  # frequent tokens that are told to all tasks at most (8 bytes each); beyond, `often` counts double
+    frequent: int = 1 << 20  # frequent tokens that are told to all tasks at most (16 bytes each); beyond, `often` counts double
     rounds: int = 2
+    cell: int = 512  # classes of a cell of a larger group
+    few: int = 32  # a token of more sets of a group is a column of a matrix, others are counted pair by pair
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -80,8 +84,8 @@ def sets_of(docs: DataFrame, p: Params) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, key binary, low array<bigint>", lambda: each)
 
 
-def frequent_tokens(classes: DataFrame, p: Params) -> np.ndarray:
-    """The tokens that at least `often` classes have, or a higher number that leaves at most `frequent` of them."""
+def frequent_tokens(classes: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that at least `often` classes have, or a higher number that leaves at most `frequent` of them, and how many have each."""
     limit = int(min(1.0, 1.5 * (1 - p.percent / 100)) * (1 << 63) - 1)
     counts = classes.select(F.explode("low").alias("token")).filter(F.col("token") < limit).groupBy("token").count().filter(F.col("count") >= p.often)
     counts = written(counts, "frequent")
@@ -89,22 +93,24 @@ def frequent_tokens(classes: DataFrame, p: Params) -> np.ndarray:
     while n > p.frequent:
         least *= 2
         n = counts.filter(F.col("count") >= least).count()
-    found = np.array([r.token for r in counts.filter(F.col("count") >= least).select("token").collect()], "int64")
+    found = np.array(sorted((r.token, r["count"]) for r in counts.filter(F.col("count") >= least).collect()), "int64").reshape(-1, 2)
     discard(counts)
-    return np.sort(found)
+    return np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
 
 
 def group_keys(classes: DataFrame, p: Params) -> DataFrame:
-    """key, id: the groups of each class. The first tokens: rare ones by hash, then frequent ones and those beyond the limit."""
+    """key, id: the groups of each class. The first tokens: rare ones by hash, frequent ones by their count, those beyond the limit."""
     limit = int(min(1.0, 1.5 * (1 - p.percent / 100)) * (1 << 63) - 1)
     frequent = classes.sparkSession.sparkContext.broadcast(frequent_tokens(classes, p))
     step = math.log(100 / p.percent) + 1e-9
 
     def each(batch: pd.DataFrame) -> pd.DataFrame:
-        keys, often = [], frequent.value
+        keys, (often, times) = [], frequent.value
         for n, low in zip(batch["n"], batch["low"], strict=True):
-            rare = (low < limit) & ~inside(low, often)
-            first = np.concatenate([low[rare], low[~rare]])[: prefix_size(n, p.percent)].astype("uint64")
+            frequent_ = inside(low, often)
+            count = np.where(low < limit, 0, 1 << 60)
+            count[frequent_] = times[np.searchsorted(often, low[frequent_])]
+            first = low[np.argsort(count, kind="stable")][: prefix_size(n, p.percent)].astype("uint64")
             size = int(math.log(n) / step)
             larger = max(n, int(math.exp(step * (size + 1))) - 1)  # no set of the next size class is smaller
             other = n + 1 - -(-p.percent * (n + larger) // (100 + p.percent))
@@ -133,36 +139,66 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * (i := int(inside(small, large).sum())) >= percent * (total - i)
 
 
-def open_group(rows: dict[str, list], p: Params) -> list[tuple[int, int]]:
-    """Links that join all that is linked in the group: of pairs that are joined already, none is compared.
+def overlaps(sets: list[np.ndarray], few: int) -> np.ndarray:
+    """How many tokens each two of the sets share (the diagonal is of no use)."""
+    n = len(sets)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
+    counts = np.diff(starts, append=len(tokens))
+    each = np.repeat(counts, counts)
+    some = (each > 1) & (each <= few)
+    t, o = tokens[some], owner[some]
+    pairs = np.zeros(n * n)
+    for apart in range(1, few):
+        same = t[apart:] == t[:-apart]
+        if not same.any():
+            break
+        pairs += np.bincount(o[:-apart][same] * n + o[apart:][same], minlength=n * n)
+    shared = pairs.reshape(n, n)
+    shared = shared + shared.T
+    o, column = owner[each > few], np.repeat(np.arange((counts > few).sum()), counts[counts > few])
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        here = (column >= at) & (column < at + 2048)
+        matrix = np.zeros((n, 2048), "float32")
+        matrix[o[here], column[here] - at] = 1
+        shared += matrix @ matrix.T
+    return shared
+
+
+def smallest(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row that it reaches."""
+    low = np.arange(len(near))
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], len(near)).min(1))
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
-    Where rows have a role, those of role 1 are queries against the rest, which are known to be one component at most.
-    """
-    ids, sets, known = rows["id"], [np.asarray(t) for t in rows["tokens"]], rows["component"]
-    root = {c: c for c in known}
-
-    def top(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    asks = np.array(rows["role"])
-    order = np.lexsort((ids, [len(s) for s in sets]))
-    union = np.unique(np.concatenate([sets[k] for k in order if not asks[k]] or [np.zeros(0, "int64")])) if asks.any() else None
-    links = []
-    for place, i in enumerate(order):
-        if union is not None and asks[i]:
-            if 100 * int(inside(sets[i], union).sum()) < p.percent * len(sets[i]):
-                continue  # whatever set of the group it is held against, the overlap is too small
-        for j in order[:place][::-1] if union is None else order:
-            if union is None and 100 * len(sets[j]) < p.percent * len(sets[i]):
-                break
-            if union is not None and (asks[j] or not asks[i]):
-                continue
-            if top(known[i]) != top(known[j]) and linked(sets[i], sets[j], p.percent):
-                root[top(known[i])] = top(known[j])
-                links.append((int(ids[i]), int(ids[j])))
-    return links
+
+def open_group(rows: dict[str, list], p: Params) -> list[tuple[int, int]]:
+    """Links that join all that is linked in the group. Rows of role 1 are queries against the others, one row for each id and role."""
+    asks = np.array(rows["role"], bool)
+    sets = [np.asarray(t) for t in rows["tokens"]]
+    stay = np.ones(len(sets), bool)
+    if asks.any():
+        union = np.unique(np.concatenate([np.zeros(0, "int64"), *(s for s, a in zip(sets, asks, strict=True) if not a)]))
+        for i in np.flatnonzero(asks):  # whatever set of the cell it is held against, the overlap is too small
+            stay[i] = 100 * int(inside(sets[i], union).sum()) >= p.percent * len(sets[i])
+        if not stay[asks].any():
+            return []
+    ids, first = np.unique(np.array(rows["id"], "int64")[stay], return_index=True)
+    sets = [s for s, k in zip(sets, stay, strict=True) if k]
+    sets = [sets[k] for k in first]
+    if len(sets) <= 8:
+        return [(int(ids[i]), int(ids[j])) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j], p.percent)]
+    shared, n = overlaps(sets, p.few), np.array([len(s) for s in sets])
+    near = 100 * shared >= p.percent * (n[:, None] + n[None, :] - shared)
+    np.fill_diagonal(near, False)
+    low = smallest(near)
+    return [(int(ids[i]), int(ids[k])) for i, k in enumerate(low) if i != k]
 
 
 def may_link(a: tuple, b: tuple, percent: int) -> bool:
@@ -181,21 +217,30 @@ def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     def each(rows: dict[str, list]) -> list[tuple]:
         order = sorted(range(len(rows["id"])), key=lambda k: (rows["n"][k], rows["id"][k]))
         ids, top = [int(rows["id"][k]) for k in order], list(range(len(order)))
-        sets = [(n, low, (1 << 63) - 1 if n == len(low) else max(limit - 1, int(low[-1]))) for n, low in ((rows["n"][k], rows["low"][k]) for k in order)]
 
         def first(i: int) -> int:
             while top[i] != i:
                 top[i] = i = top[top[i]]
             return i
 
-        for i in range(len(sets)):
-            for j in range(i - 1, -1, -1):
-                if 100 * sets[j][0] < p.percent * sets[i][0]:
-                    break
-                if first(i) != first(j) and may_link(sets[i], sets[j], p.percent):
-                    top[first(i)] = first(j)
+        if len(ids) <= 8:
+            sets = [(n, low, (1 << 63) - 1 if n == len(low) else max(limit - 1, int(low[-1]))) for n, low in ((rows["n"][k], rows["low"][k]) for k in order)]
+            for i in range(len(sets)):
+                for j in range(i - 1, -1, -1):
+                    if 100 * sets[j][0] < p.percent * sets[i][0]:
+                        break
+                    if first(i) != first(j) and may_link(sets[i], sets[j], p.percent):
+                        top[first(i)] = first(j)
+        else:  # the same bound for all pairs at once, from the tokens under the limit, which all sets have in full
+            own = [rows["low"][k][: np.searchsorted(rows["low"][k], limit)] for k in order]
+            n, known = np.array([rows["n"][k] for k in order]), np.array([len(x) for x in own])
+            total = n[:, None] + n[None, :]
+            most = np.minimum(n[:, None] - known[:, None], n[None, :] - known[None, :]) + overlaps(own, p.few)
+            near = (100 + p.percent) * most >= p.percent * total
+            np.fill_diagonal(near, False)
+            top = smallest(near).tolist()
         parts = defaultdict(list)
-        for i in range(len(sets)):
+        for i in range(len(ids)):
             parts[first(i)].append(ids[i])
         out = []
         for part in parts.values():
@@ -208,8 +253,8 @@ def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
 
 
 def opened(members: DataFrame, p: Params) -> DataFrame:
-    """members: group, id, component, role, tokens. The links found in the groups."""
-    return map_groups(members.select("group", "id", "component", "role", "tokens"), "group", "a long, b long", lambda rows: open_group(rows, p))
+    """members: group, id, role, tokens. Pairs that join what is linked in each group."""
+    return map_groups(members.select("group", "id", "role", "tokens"), "group", "a long, b long", lambda rows: open_group(rows, p))
 
 
 def with_tokens(docs: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
@@ -248,31 +293,34 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
     discard(groups)
     left = joined_groups(left, p)
     wanted = left.groupBy("id").agg(F.collect_list("group").alias("groups"))
-    members = with_tokens(docs, wanted, p).select(F.explode("groups").alias("group"), "id", F.col("id").alias("component"), F.lit(0).alias("role"), "tokens")
+    members = with_tokens(docs, wanted, p).select(F.explode("groups").alias("group"), "id", F.lit(0).alias("role"), "tokens")
     links = written(opened(members, p), "found")
     discard(left)
     if not hot.limit(1).count():
         return components(links)
     sets = written(with_tokens(docs, hot.select("id", F.lit(1).alias("one")).distinct(), p).select("id", "tokens"), "sets")
-    for turn in range(p.rounds + 1):
-        now = components(links)
-        marked = hot.join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if turn < p.rounds:  # each class in one of its groups, so that most of what is alike is soon one component
-            one = marked.groupBy("id").agg((F.min if turn % 2 == 0 else F.max)(F.struct("key", "size", "component")).alias("x")).select("id", "x.*")
-            part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / (p.most // 2)))
-            parts = one.select(F.xxhash64("key", part).alias("group"), "id", "component", F.lit(0).alias("role"))
-        else:
-            counts = marked.groupBy("key", "component").count()
-            largest = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.max("count").alias("most"), F.count("*").alias("n")).filter("n > 1")
-            rest = marked.join(largest, "key").withColumn("blocks", F.ceil((F.col("size") - F.col("most")) / (p.most // 2)).cast("int"))
-            rest = written(rest.withColumn("parts", F.ceil(F.col("size") / (p.most // 2)).cast("int")), "rest")
-            counted = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-            stay = rest.select("key", "id", "component", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), counted("blocks").alias("block"), F.lit(0).alias("role"))
-            ask = rest.filter("component <> largest").select("key", "id", "component", counted("parts").alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
-            parts = stay.unionByName(ask).select(F.xxhash64("key", "part", "block").alias("group"), "id", "component", "role")
-        more = written(opened(parts.join(sets, "id"), p), "found")
-        links = written(links.unionByName(more), "found")
-    discard(sets)
+    homes = written(hot.groupBy("id").agg(F.max(F.struct("size", "key")).alias("x")).select("id", F.col("x.key").alias("home"), "x.size"), "homes")
+    cells = lambda n: F.ceil(n / p.cell).cast("int")
+    for turn in range(p.rounds):
+        cell = F.pmod(F.xxhash64("id", F.lit(turn)), cells(F.col("size")))
+        members = homes.select(F.xxhash64("home", cell).alias("group"), "id", F.lit(0).alias("role"))
+        links = written(links.unionByName(opened(members.join(sets, "id"), p)), "found")
+    marked = hot.join(homes.select("id", "home"), "id").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = written(marked, "marked")
+    # of a group those go without a query that are joined already, or those whose home is another group, the same for all of them
+    alike = marked.groupBy("key", F.lit(0).alias("kind"), F.col("component").alias("label")).count()
+    alike = alike.unionByName(marked.filter("home <> key").groupBy("key", F.lit(1).alias("kind"), F.col("home").alias("label")).count())
+    largest = alike.groupBy("key").agg(F.max(F.struct("count", "kind", "label")).alias("x")).select("key", "x.*")
+    rest = marked.join(largest, "key").filter(F.col("size") > F.col("count"))
+    rest = rest.select("key", "id", (F.when(F.col("kind") == 0, F.col("component")).otherwise(F.col("home")) != F.col("label")).alias("asks"), cells(F.col("size") - F.col("count")).alias("blocks"), cells(F.col("size")).alias("parts"))
+    rest = written(rest, "rest")
+    counted = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stay = rest.select("key", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), counted("blocks").alias("block"), F.lit(0).alias("role"))
+    ask = rest.filter("asks").select("key", "id", counted("parts").alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
+    queries = stay.unionByName(ask).select(F.xxhash64("key", "part", "block").alias("group"), "id", "role")
+    links = written(links.unionByName(opened(queries.join(sets, "id"), p)), "found")
+    for old in (hot, sets, homes, marked, rest):
+        discard(old)
     return components(links)
 
 

@@ -109,8 +109,8 @@ def test_suffix_dedup(spark, most):
     assert got == sorted((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in want)
 
 
-@pytest.mark.parametrize("words,percent,most,often", [(3, 90, 256, 16), (5, 80, 6, 2)])
-def test_jaccard(spark, words, percent, most, often):
+@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(5, 80, most=6, often=2, cell=4, few=3), jaccard.Params(3, 80, most=9, often=2, cell=20, few=2)])
+def test_jaccard(spark, p):
     rng = random.Random(6)
     bases = [[str(rng.randint(0, 300)) for _ in range(n)] for n in (3, 12, 40, 60, 60)]
     rows = []
@@ -120,8 +120,8 @@ def test_jaccard(spark, words, percent, most, often):
             own[rng.randrange(len(own))] = str(rng.randint(0, 300))
         rows.append((i, " ".join(own)))
     rows += [(200, None), (201, ""), (202, " \t"), (203, "A b"), (204, "a B"), (205, "a  b\n")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows), jaccard.Params(words, percent, most, often)).collect()}
-    assert got == brute.jaccard_components(rows, words, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows), p).collect()}
+    assert got == brute.jaccard_components(rows, p.words, p.percent)
 
 
 def test_jaccard_odd_rows(spark):
@@ -131,6 +131,16 @@ def test_jaccard_odd_rows(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize("few", [2, 5, 32])
+def test_overlaps(few):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(40)]
+    got, want = jaccard.overlaps(sets, few), np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    np.fill_diagonal(got, 0)
+    np.fill_diagonal(want, 0)
+    assert (got == want).all()
+
+
 def test_components(spark):
     pairs = [(i + 1, i) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(map(tuple, links.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
