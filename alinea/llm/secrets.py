@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds what looks like them.
 
 The field tags the tokens of a text as begin, inside or outside of a secret, by each token's shape, its neighbours and features
-of the file, and is decoded by Viterbi. It learns from what the patterns find in a bounded sample of texts.
+of the file, and is decoded by Viterbi. It learns from windows of a bounded sample of texts: from what the patterns find there,
+once as it stands and once with its keyword hidden, and from made-up secrets and harmless look-alikes that are put among the
+texts' own tokens. So shape and neighbours carry a secret that no pattern takes, and numbers, addresses or names do not.
 
 Most tokens are ordinary words. Where a token's own score for outside exceeds its others by more than all neighbours, file
 features and transitions can make up for, every best path has it outside; decoding runs on what lies between such tokens and
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows, slices
+from .common import Memo, forget, map_rows, slices
 
 # The patterns of the base scan, their least lengths, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -40,15 +42,14 @@ BEGIN, INSIDE, OUTSIDE = range(3)
 @dataclass(frozen=True)
 class Params:
     sample_rows: int = 4000  # bound of the training sample
-    train_chars: int = 6000  # rows with longer texts are not in that sample; they are scanned like all others
+    train_chars: int = 6000  # of a longer text the sample has a window of so many characters, chosen by hash
     own: int = 1 << 13
     context: int = 1 << 11
     width: int = 20  # tokens of a training window
     quiet: int = 4  # windows without a secret for each one with
-    rounds: int = 40
+    rounds: int = 60
     rate: float = 0.1
-    decay: float = 1e-3
-    least: int = 8  # characters of a span that the field adds
+    decay: float = 3e-4
     most_words: int = 200_000
     seed: int = 5
 
@@ -78,7 +79,7 @@ def kind_of(token: str) -> str:
     """A token as its neighbours see it: short words by name, all else by shape."""
     if len(token) <= 12 and token.isalpha():
         return token.lower()
-    return token if len(token) == 1 else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in token[:64]}))
+    return token if len(token) == 1 else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in token}))
 
 
 def shape_of(token: str) -> tuple:
@@ -162,7 +163,7 @@ class Field:
                 close()
             run.append((a, b, score))
         close()
-        return [s for s in out if s[1] - s[0] >= self.p.least]
+        return out
 
     def _decoded(self, run: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
         """Viterbi over tokens that stand between settled ones (or the text's ends), which are outside."""
@@ -187,29 +188,73 @@ class Field:
         return [(a, b) for a, b in out]
 
 
+SIGNS = {"hex": "0123456789abcdef", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
+NAMES = ("credential", "bearer", "auth", "authorization", "pwd", "key", "private", "signature", "session", "cookie", "access", "client")
+
+
+def made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
+    """Tokens of a secret as it may stand in a text, and their tags."""
+    signs = SIGNS[str(rng.choice(list(SIGNS)))]
+    value = "".join(rng.choice(list(signs), int(rng.integers(16, 65))))
+    while not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
+        value = value[:-2] + "7f"
+    value = value.strip("+/-_") or "7f" * 8
+    if rng.random() < 0.25:  # a short prefix that names the issuer
+        value = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 5)))) + str(rng.choice(["_", "-"])) + value
+    lead = [[], [], ["="], [":"], ["=", '"'], [":", '"'], ["=", "'"], ['"']][int(rng.integers(8))]
+    name = [str(rng.choice(NAMES))] if rng.random() < 0.5 else []
+    quote = [q for q in lead if q in "\"'"]
+    return name + lead + [value] + quote, [OUTSIDE] * (len(name) + len(lead)) + [BEGIN] + [OUTSIDE] * len(quote)
+
+
+def harmless(rng: np.random.Generator) -> list[str]:
+    """Tokens that look a little like a secret, or stand where one may."""
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    n = int(rng.integers(6, 20))
+    found = [
+        [digits(n)], [word(5) + "." + digits(2), "@", word(6) + digits(1) + ".example.com"], [f"v{digits(1)}.{digits(2)}.{digits(1)}"], [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"],
+        [f"{word(4)}/{word(6)}/{word(5)}{digits(1)}.html"], [f"{word(5)}_{word(6)}_{digits(1)}"], [word(n + 6)], [word(n).upper()], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [word(n).title() + word(4).title()],
+        [digits(4), digits(4), digits(4)], [f"{word(8)}-{word(5)}"],
+    ][int(rng.integers(12))]
+    lead = [[], [], ["="], [":"], ["=", '"']][int(rng.integers(5))]
+    return ([str(rng.choice(NAMES))] if lead and rng.random() < 0.5 else []) + lead + found
+
+
 def windows(texts: list[str], p: Params) -> tuple[list, np.ndarray]:
     """Training windows: for each its tokens' features (own, before, further, after, file), and the states."""
     rng = np.random.default_rng(p.seed)
     rows, states = [], []
+
+    def add(tokens: list[str], tags: list[int], start: int, file: list[int]) -> None:
+        name = lambda i, slot: code(slot, kind_of(tokens[i]) if 0 <= i < len(tokens) else "", p.context)
+        rows.append([(own_features(tokens[i], p), name(i - 1, "before"), name(i - 2, "further"), name(i + 1, "after"), file) for i in range(start, start + p.width)])
+        states.append(tags[start : start + p.width])
+
     for text in texts:
         spans = []
         for kind, a, b in base_spans(text):
             spans.append((m.start(2), m.end(2)) if kind == "assign" and (m := ASSIGN.match(text, a)) else (a, b))
-        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-        if len(tokens) < p.width:
+        found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+        if len(found) < p.width:
             continue
-        tags = np.full(len(tokens), OUTSIDE)
+        tokens, tags = [t for _, _, t in found], [OUTSIDE] * len(found)
         for a, b in spans:
-            inside = [i for i, t in enumerate(tokens) if t[0] < b and t[1] > a]
-            tags[inside] = INSIDE
-            tags[inside[:1]] = BEGIN
-        starts = [max(0, min(i - int(rng.integers(2, p.width - 2)), len(tokens) - p.width)) for i in np.where(tags == BEGIN)[0]]
-        starts += list(rng.integers(0, len(tokens) - p.width + 1, p.quiet * len(starts) if starts else int(rng.random() < 0.2)))
-        file = file_features(text)
-        name = lambda i, slot: code(slot, kind_of(tokens[i][2]) if 0 <= i < len(tokens) else "", p.context)  # noqa: B023, E731
+            inside = [i for i, t in enumerate(found) if t[0] < b and t[1] > a]
+            for i in inside:
+                tags[i] = BEGIN if i == inside[0] else INSIDE
+        file, last = file_features(text), len(tokens) - p.width
+        starts = [max(0, min(i - int(rng.integers(2, p.width - 2)), last)) for i, t in enumerate(tags) if t == BEGIN]
+        hidden = [str(rng.choice(tokens)) if any(h in t.lower() for h in HINTS) else t for t in tokens] if starts else tokens
         for s in starts:
-            rows.append([(own_features(tokens[i][2], p), name(i - 1, "before"), name(i - 2, "further"), name(i + 1, "after"), file) for i in range(s, s + p.width)])
-            states.append(tags[s : s + p.width])
+            add(tokens, tags, s, file)
+            add(hidden, tags, s, file)
+        for s in rng.integers(0, last + 1, p.quiet * len(starts) if starts else int(rng.random() < 0.5)):
+            add(tokens, tags, int(s), file)
+            more, their = made_up(rng) if rng.random() < 0.5 else (harmless(rng), [])
+            at = int(s) + int(rng.integers(1, p.width - len(more) - 1))
+            mixed, with_tags = tokens[:at] + more + tokens[at:], tags[:at] + (their or [OUTSIDE] * len(more)) + tags[at:]
+            add(mixed, with_tags, int(s), file)
     return rows, np.array(states, int).reshape(-1, p.width)
 
 
@@ -259,7 +304,9 @@ def fit(texts: list[str], p: Params) -> Field:
 
 def train(docs: DataFrame, p: Params) -> Field:
     """From at most sample_rows texts, in the order of a hash of doc_id and text."""
-    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit(p.seed)).alias("draw")).filter(F.length("text").between(1, p.train_chars))
+    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit(p.seed)).alias("draw")).filter(F.length("text") > 0)
+    start = F.pmod("draw", F.greatest(F.lit(1), F.length("text") - p.train_chars + 1)) + 1
+    drawn = drawn.select("draw", F.substring("text", start.cast("int"), F.lit(p.train_chars)).alias("text"))
     first = [r.draw for r in drawn.select("draw").orderBy("draw").limit(p.sample_rows).collect()]  # numbers alone: each task sends as many
     texts = [r.text for r in drawn.filter(F.col("draw") <= first[-1]).orderBy("draw", "text").limit(p.sample_rows).collect()] if first else []
     return fit(texts, p)
@@ -315,6 +362,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", p: Params = Params())
     schema = docs.schema
 
     def run(batches):
+        forget()
         field = Field(p)
         field.w = shared.value
         field.freeze()
