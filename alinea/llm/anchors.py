@@ -26,12 +26,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def stretches(data: bytes, length: int, gram: int) -> np.ndarray:
+def stretches(data: bytes, length: int, gram: int, block: int = 1 << 22) -> np.ndarray:
     """Columns: anchor's hash, content's hash (twice), first start, last start, anchor's place from the first start; in order.
 
     Strings from the first to the last start have the anchor; the content is all their bytes, data[first : last + length].
+    A text of more than `block` starts is taken a block after the other; a stretch across their border comes in two parts.
     """
     n = len(data) - length + 1
+    if n > block:
+        parts = []
+        for at in range(0, n, block):
+            part = stretches(data[at : at + block + length - 1], length, gram, block)
+            part[:, 3:5] += np.uint64(at)
+            parts.append(part)
+        return np.concatenate(parts)
     if n <= 0:
         return np.zeros((0, 6), "uint64")
     codes = np.frombuffer(data, "uint8").astype("uint64") + np.uint64(1)

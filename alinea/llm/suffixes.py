@@ -236,7 +236,7 @@ def merged_ranges(ranges) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, p: Params = Params(), texts: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (binary).
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (any byte is); with texts also kept (binary).
 
     Null texts count as empty; texts shorter than the length lose nothing. Rows that repeat are texts of their own, so both
     lose what they share; null doc_ids stay. What is left can begin or end inside a character, so it is bytes. Other columns
@@ -254,10 +254,10 @@ def dedup(docs: DataFrame, p: Params = Params(), texts: bool = False) -> DataFra
             spans = merged_ranges((r["a"], r["b"]) for r in found) if found is not None else []
             edges = [0, *(e for s in spans for e in s), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) + (kept,) * texts)
-        frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts)
+            out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), bool(spans)) + (kept,) * texts)
+        frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"] + ["kept"] * texts)
         frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
         return frame
 
     joined = rows.join(lists, ["u1", "u2"], "left").select("doc_id", "text", "ranges")
-    return map_rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts, lambda: each)
+    return map_rows(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed boolean" + ", kept binary" * texts, lambda: each)
