@@ -30,10 +30,10 @@ class Params:
     seed: int = 3
 
 
-@lru_cache(4)
-def donors(bins: int, seed: int) -> np.ndarray:
-    """bins x 64: where an empty bin looks, in order."""
-    return np.random.default_rng(seed).integers(0, bins, (bins, 64))
+@lru_cache(64)
+def donors(bins: int, seed: int, turn: int) -> np.ndarray:
+    """bins x 64: where an empty bin looks, in order; after all 64 places those of the next turn follow."""
+    return np.random.default_rng([seed, turn]).integers(0, bins, (bins, 64))
 
 
 def sketch(tokens: np.ndarray, p: Params) -> bytes:
@@ -46,13 +46,13 @@ def sketch(tokens: np.ndarray, p: Params) -> bytes:
     low[where[first]] = (tokens[first] & ((1 << p.bits) - 1)).astype("uint8")
     full[where[first]] = True
     empty = np.flatnonzero(~full)
-    if len(empty):
-        ways = donors(p.bins, p.seed)[empty]
-        at = full[ways].argmax(1)
-        chosen = ways[np.arange(len(empty)), at]
-        for k in np.flatnonzero(~full[chosen]):  # none of 64: the next full bin
-            chosen[k] = where[first][np.searchsorted(where[first], empty[k]) % len(first)]
-        low[empty] = low[chosen]
+    turn = 0
+    while len(empty):
+        ways = donors(p.bins, p.seed, turn)[empty]
+        chosen = ways[np.arange(len(empty)), full[ways].argmax(1)]
+        met = full[chosen]
+        low[empty[met]] = low[chosen[met]]
+        empty, turn = empty[~met], turn + 1
     if p.bits == 8:
         return low.tobytes()
     return np.packbits((low[:, None] >> np.arange(p.bits)[::-1]) & 1).tobytes()
