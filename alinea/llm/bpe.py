@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -21,7 +20,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows
+from .common import Memo, kept, map_rows
 
 LONG_TEXT = 1 << 20  # from so many characters on, pre-tokens are taken a block at a time
 BLOCK = 50_000
@@ -188,10 +187,9 @@ class Codec:
             yield b"", rest
 
 
-@lru_cache(2)
 def codec_of(path: str, pattern: str) -> Codec:
-    """One for each Python worker: its tables serve all tasks that the worker runs."""
-    return Codec(path, pattern)
+    """One for each Python worker: its tables serve the operator's tasks until the worker turns to another operator."""
+    return kept(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
@@ -225,4 +223,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         return each
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", token_ids array<int>, decoded_text string" * ids
-    return map_rows(docs.select("doc_id", "text"), schema, fn)
+    return map_rows(docs.select("doc_id", "text"), schema, fn, keeps=True)

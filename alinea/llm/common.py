@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+LIBC = ctypes.CDLL(None)
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -70,11 +73,37 @@ def arrow_kinds(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Like mapInPandas with a state per task: fn() makes it, what it returns maps a frame. Frames are small, whatever the batches."""
+KEPT: dict = {}
+
+
+def kept(name, make: Callable):
+    """What a Python worker keeps from task to task, for one operator at a time: that of another goes first."""
+    if name not in KEPT:
+        forget()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def forget() -> None:
+    """Gives back what the worker has kept: it serves other operators next, and its memory counts towards the executor's."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
+def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], keeps: bool = False) -> DataFrame:
+    """Like mapInPandas with a state per task: fn() makes it, what it returns maps a frame. Frames are small, whatever the batches.
+
+    keeps: fn uses kept(), so that its state outlives the task.
+    """
     kinds = arrow_kinds(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         each = fn()
         for batch in batches:
             for some in slices(batch):
@@ -103,6 +132,7 @@ def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, lis
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, list] = {n: [] for n in names}
         rows: list[tuple] = []
         for batch in batches:
@@ -130,6 +160,14 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def windows_of(docs: DataFrame, most: int, seed: int) -> DataFrame:
+    """doc_id, long, text: one row for each id. Of a text of over `most` characters, which is long, a window chosen by the id's hash."""
+    n = F.length("text")
+    start = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.lit(1), n - most + 1)) + 1
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", (n > most).alias("long"), F.substring("text", start.cast("int"), F.lit(most)).alias("text"))
+    return rows.groupBy("doc_id").agg(F.min(F.struct("long", "text")).alias("x")).select("doc_id", "x.*")
+
+
 class Memo(dict):
     """A dict that works out what it lacks. When full, its entries become old; old ones that are not asked for again go next."""
 

@@ -160,7 +160,7 @@ def count_edits(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return each
 
     schema = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_pretokens long, n_encoded_again long"
-    return map_rows(docs.select("doc_id", "text", "edits"), schema, fn)
+    return map_rows(docs.select("doc_id", "text", "edits"), schema, fn, keeps=True)
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:

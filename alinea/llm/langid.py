@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, windows_of
 
 
 @dataclass(frozen=True)
 class Params:
     rows_per_language: int = 300  # bound of the training sample
-    train_chars: int = 6000  # rows with longer texts are not in that sample; they are labelled like all others
+    train_chars: int = 6000  # rows with longer texts come last into that sample, with a window of so many characters
     words_per_language: int = 12_000  # words drawn from them for training
     hidden: int = 12
     steps: int = 600
@@ -156,12 +156,12 @@ def sample(docs: DataFrame, p: Params) -> DataFrame:
 
     The best of each of 64 parts of a language are drawn before the best of the language, so that no task gets all its rows.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= p.train_chars) & ~held_out("doc_id"))
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(p.seed)).alias("draw"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    ranked = known.select("doc_id", "lang", (F.length("text") > p.train_chars).alias("long"), F.xxhash64("doc_id", F.lit(p.seed)).alias("draw"))
     ranked = ranked.withColumn("part", F.pmod("draw", F.lit(64)))
     for keys in (["lang", "part"], ["lang"]):
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))).filter(F.col("rank") <= p.rows_per_language)
-    return ranked.select("doc_id", "lang")
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("long", "draw", "doc_id", "lang"))).filter(F.col("rank") <= p.rows_per_language)
+    return ranked.groupBy("doc_id").agg(F.min("lang").alias("lang"))
 
 
 def train(docs: DataFrame, p: Params) -> tuple[list[str], BiGru | None]:
@@ -169,7 +169,7 @@ def train(docs: DataFrame, p: Params) -> tuple[list[str], BiGru | None]:
     if not drawn:
         return [], None
     ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in drawn], "doc_id long"))
-    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").filter(F.length("text") <= p.train_chars).collect()}
+    texts = {r.doc_id: r.text for r in windows_of(docs.join(ids, "doc_id", "left_semi"), p.train_chars, p.seed).collect()}
     order = sorted(texts)
     return fit([texts[i] for i in order], [drawn[i] for i in order], p)
 
@@ -177,7 +177,7 @@ def train(docs: DataFrame, p: Params) -> tuple[list[str], BiGru | None]:
 def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (the pooled probability of lang_pred).
 
-    Learns from text and lang of rows that are not held out and whose lang is not null; of a repeated doc_id one text counts.
+    Learns from text and lang of rows that are not held out and whose lang is not null; of a repeated doc_id the smallest text and language count.
     lang_pred is `und`, with score 0, where text is null or without a letter, and everywhere if there is nothing to learn from.
     Ties go to the language that sorts first. Null doc_ids are labelled and count as not held out.
     """

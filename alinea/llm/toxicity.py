@@ -12,6 +12,7 @@ for the hardest window of a clean row.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, map_rows, slices
+from .common import Memo, forget, held_out, map_rows, slices, windows_of
 
 
 @dataclass(frozen=True)
 class Params:
     rows_per_class: int = 2000  # bound of the training sample: so many labelled rows of either class at most
-    train_chars: int = 8000  # rows with longer texts are not in that sample; they are scored like all others
+    train_chars: int = 8000  # rows with longer texts come last into that sample, with a window of so many characters
     buckets: int = 1 << 17
     dim: int = 8
     low: int = 3
@@ -100,19 +101,21 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
     out = np.zeros((p.dim, 2))
     bias = np.zeros(2)
     seen: dict[str | bytes, int] = {}
-    bags: list[list[int]] = []
+    bags, sizes = array("i"), array("i")  # buckets of all words, one word after the other, and how many each has
     rows = []
     for text in texts:
         ids = []
         for word in words_of(text, p):
             if word not in seen:
-                seen[word] = len(bags)
-                bags.append(grams(word, p))
+                seen[word] = len(sizes)
+                own = grams(word, p)
+                bags.extend(own)
+                sizes.append(len(own))
             ids.append(seen[word])
         rows.append(np.array(ids, dtype=int))
-    sizes = np.array([len(b) for b in bags] or [1])
+    sizes = np.array(sizes or [1], dtype=int)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    flat = np.array([g for b in bags for g in b] or [0])
+    flat = np.array(bags or [0], dtype="int32")
     some = [k for k in range(len(rows)) if len(rows[k])]
     for epoch in range(p.rounds):
         folded = table @ (out[:, 1] - out[:, 0])
@@ -146,7 +149,7 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
 
 def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, float]:
     """Fits on at most rows_per_class rows of either class, in the order of a hash of doc_id; held-out rows are never read."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(~held_out("doc_id")).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(p.seed))
     drawn = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(2 * p.rows_per_class) for k in (0, 1)]
     picked = {r.doc_id: r.toxic for d in drawn for r in d.collect()}
@@ -154,11 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, fl
         return fit([], [], p)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([(k,) for k in picked], "doc_id long"))
-    short = docs.select("doc_id", "text").filter(F.length("text") <= p.train_chars)
-    texts = {r.doc_id: r.text for r in short.join(ids, "doc_id", "left_semi").collect()}
+    texts = {r.doc_id: (r.long, r.text) for r in windows_of(docs.join(ids, "doc_id", "left_semi"), p.train_chars, p.seed).collect()}
     rows = []
     for k in (0, 1):
-        rows += [(i, texts[i]) for i in sorted(texts) if picked[i] == k][: p.rows_per_class]
+        rows += [(i, texts[i][1]) for i in sorted(texts, key=lambda i: (texts[i][0], i)) if picked[i] == k][: p.rows_per_class]
     return fit([t for _, t in rows], [picked[i] for i, _ in rows], p)
 
 
@@ -199,7 +201,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params()
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Learns from labels.toxic (0 or 1; other values are left out, of a repeated doc_id one row counts) of rows that are not
+    Learns from labels.toxic (0 or 1; other values are left out; of several labels of an id the higher counts, of several texts the smallest) of rows that are not
     held out. A score depends on the text alone. Null doc_ids are scored and count as not held out.
     """
     scored = score(docs, train(docs, labels, p), p)
@@ -211,6 +213,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
     def kept(batches):
+        forget()
         of = log_odds(shared.value, p)
         for batch in batches:
             for some in slices(batch):

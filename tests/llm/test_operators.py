@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -11,7 +12,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from alinea.llm import bpe, edits, forest, jaccard, langid, links, minhash, mixing, secrets, suffixes, toxicity
+from alinea.llm import anchors, bpe, edits, forest, jaccard, langid, links, minhash, mixing, secrets, suffixes, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key long, id string, n int"
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
@@ -106,7 +107,14 @@ def test_suffix_dedup(spark, most):
     rows += ODD + [(80, "ab" * 90), (81, "b" + "ab" * 40), (None, "x" * 100)]
     got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in suffixes.dedup(docs_of(spark, rows), suffixes.Params(length=20, gram=6, most=most)).collect())
     want = brute.repeated_bytes([(-1 if i is None else i, (t or "").encode()) for i, t in rows], 20)
-    assert got == sorted((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in want)
+    assert got == sorted((*r[:4], hashlib.sha256(r[4]).hexdigest(), r[2] > 0) for r in want)
+
+
+def test_stretches_of_long_texts_come_in_blocks():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 101, 5000, dtype="uint8").tobytes()
+    key = lambda rows: {(int(r[0]), s - int(r[3]) - int(r[5]), s) for r in rows for s in range(int(r[3]), int(r[4]) + 1)}
+    assert key(anchors.stretches(data, 100, 16, 300)) == key(anchors.stretches(data, 100, 16))
 
 
 @pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(5, 80, most=6, often=2, cell=4, few=3), jaccard.Params(3, 80, most=9, often=2, cell=20, few=2)])
@@ -344,3 +352,54 @@ def test_shortages_meet_siblings_first(spark):
     plan = mixing.Plan(domain_weight="1", language_weight="1", percent=20, epochs=1)
     got = {r.origin: r.quota for r in mixing.quotas(leaves, plan).collect()}
     assert got == {"a": 10, "b": 191, "c": 201}
+
+
+def test_densification_only_draws():
+    """Every empty bin gets the value of the first full bin that its own draws lead to, however few are full."""
+    p = minhash.Params(bins=64)
+    for n in (1, 2, 5):
+        tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 62, n) * 2)
+        got, where = np.frombuffer(minhash.sketch(tokens, p), "uint8"), tokens >> 57
+        for b in range(64):
+            at = b
+            draws = (int(x) for turn in range(1000) for x in minhash.donors(64, p.seed, turn)[b])
+            while at not in where:
+                at = next(draws)
+            assert got[b] == tokens[where == at].min() & 255
+
+
+def test_best_path_and_likelihood_by_enumeration():
+    p = secrets.Params(width=4)
+    field, rng = secrets.Field(p), np.random.default_rng(2)
+    field.w["step"] = rng.normal(size=(3, 3))
+    for _ in range(50):
+        scores = rng.normal(size=(5, 3))
+        run = [(k, k + 1, s) for k, s in enumerate(scores)]
+        full = lambda path: field.w["step"][2, path[0]] + sum(scores[k][s] for k, s in enumerate(path)) + sum(field.w["step"][a, b] for a, b in zip(path, path[1:])) + field.w["step"][path[-1], 2]
+        best = max(itertools.product(range(3), repeat=5), key=full)
+        spans, last = [], 2
+        for k, s in enumerate(best):
+            if s == 0 or s == 1 and last == 2:
+                spans.append([k, k + 1])
+            elif s == 1:
+                spans[-1][1] = k + 1
+            last = s
+        assert field._decoded(run) == [tuple(s) for s in spans]
+
+
+def test_field_finds_secrets_that_no_pattern_takes():
+    rng = random.Random(3)
+    words = ["the", "report", "was", "sent", "on", "Monday", "with", "12", "pages", "and", "a", "note", "from", "mail.7@host.example.com", "2024-05-06", "version", "v1.20.3"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    field = secrets.fit([text() for _ in range(3000)], secrets.Params())
+    field.freeze()
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = wrong = 0
+    for k in range(200):
+        value, clean = "".join(rng.choices(signs, k=36)), text()
+        planted = clean + [" Authorization: Bearer ", " ghp_", ' credential = "'][k % 3] + value + " " + clean
+        assert not secrets.base_spans(planted)
+        at = planted.index(value)
+        found += any(a <= at + 4 and b >= at + len(value) for _, a, b in secrets.all_spans(planted, field)[1])
+        wrong += len(secrets.all_spans(clean, field)[1])
+    assert found >= 180 and wrong <= 2
