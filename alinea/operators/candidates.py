@@ -2,60 +2,60 @@
 
 from __future__ import annotations
 
-import re
+from os.path import commonprefix
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT, Config
 from alinea.functions.text import body_key, code_key, heading_key, is_label_heading, joined_heading, name_key, squeeze
 from alinea.operators.docmap import is_fallback
+from alinea.operators.relations import first_by
 
-# How a row refers to a provision that is attached, and what a provision's name looks like.
-AS_ATTACHED = r"([A-Z][A-Za-z0-9 ,/&'\-]{2,60}?)\s*[(]\s*(?i:as (?:attached|per attached|expiring))\s*[)]"
-TITLE = r"([A-Z][a-z][A-Za-z0-9 ,/&'\-]*?\bClause\b[A-Za-z0-9 ,/&'\-]*)$"
+# The marks behind the name of a provision that is attached, and the lengths that names and codes may have.
+ATTACHED = r"(?i)[(]\s*(as attached|as per attached|as expiring)\s*[)]"
+NAME_CHARS, ATTACHED_CHARS, CODED_CHARS, LOOK_BACK, CODE_CHARS = 3, 70, 80, 80, 5
+
+SMALL_WORDS = ["of", "and", "the", "for", "to", "in", "or", "by", "with", "on", "&", "/", "-"]
+
+
+def last_name(lead: Column) -> Column:
+    """The name that a text ends with. Its words are read from the last one back: those with a capital or digit, and small words
+    between them; the end of a sentence, a label in capitals and any other word stop the reading."""
+    words = F.reverse(F.filter(F.split(squeeze(lead), " "), lambda w: w != ""))
+
+    def step(s: Column, w: Column) -> Column:
+        ends = w.rlike(r"[.;:!?]$") | w.rlike(r"^[A-Z]{3,}$") | ~(w.rlike(r"^['(&]*[A-Z0-9]") | w.isin(SMALL_WORDS))
+        return F.when(s["ended"] | ends, F.struct(F.lit(True).alias("ended"), s["name"].alias("name"))).otherwise(F.struct(F.lit(False).alias("ended"), F.concat_ws(" ", w, F.nullif(s["name"], F.lit(""))).alias("name")))
+
+    name = F.aggregate(words, F.struct(F.lit(False).alias("ended"), F.lit("").alias("name")), step, lambda s: s["name"])
+    name = F.regexp_replace(name, r"^((" + "|".join(w for w in SMALL_WORDS if w.isalpha()) + r"|[&/-]) )+", "")
+    name = F.regexp_replace(name, r"(?i)^(\S+) \1\b", "$1")  # a label that is the name's first word again
+    return F.regexp_replace(name, r"^[,.\-\s]+|[,.\-\s]+$", "")
+
+
+def references(df: DataFrame, key: str, text: str, mark: str, longest: int) -> DataFrame:
+    """key, idx, name, mark: what is named before each mark (group 1 of the pattern), where it reads like a provision's name."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    leads, marks = F.split(t, mark), F.regexp_extract_all(t, F.lit(mark), F.lit(1))
+    rows = df.select(key, F.posexplode(F.arrays_zip(F.slice(leads, F.lit(1), F.size(marks)).alias("lead"), marks.alias("mark"))).alias("idx", "x"))
+    rows = rows.select(key, "idx", last_name(F.right("x.lead", F.lit(LOOK_BACK))).alias("name"), squeeze(F.col("x.mark")).alias("mark"))
+    named = F.lower("name").rlike(r"\bclause\b") | (F.size(F.split("name", " ")) >= 2)
+    return rows.filter(named & F.length("name").between(NAME_CHARS, longest))
 
 
 def attached_references(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, idx, name: names before "(as attached)", one for each heading key, in order."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(AS_ATTACHED), F.lit(1))
-    rows = df.select(key, F.posexplode(found).alias("idx", "raw")).withColumn("name", F.regexp_replace(squeeze(F.col("raw")), r"^[,.\-]+|[,.\-]+$", ""))
-    title = F.trim(F.regexp_extract("name", TITLE, 1))
-    rows = rows.withColumn("name", F.when(title != "", title).otherwise(F.col("name")))
-    rows = rows.filter((F.lower("name").rlike(r"\bclause\b") | (F.size(F.split("name", r"\s+")) >= 2)) & F.length("name").between(3, 70))
-    rows = rows.filter(F.length(F.regexp_replace(name_key(F.col("name")), " ", "")) >= 4).withColumn("_k", heading_key(F.col("name")))
-    w = Window.partitionBy(key, "_k").orderBy("idx")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(key, "idx", "name")
+    rows = references(df, key, text, ATTACHED, ATTACHED_CHARS).filter(F.length(F.regexp_replace(name_key(F.col("name")), " ", "")) >= 4)
+    return first_by(rows.withColumn("_k", heading_key(F.col("name"))), [key, "_k"], F.col("idx")).select(key, "idx", "name")
 
 
 def coded_references(df: DataFrame, key: str, text: str, cfg: Config = DEFAULT) -> DataFrame:
-    """key, idx, name, code: names before "(CODE)", one for each code. A name cut down to "Clause" by an inner parenthesis is
-    looked up again in the 80 characters before it, for which the match's place is needed: hence Arrow batches here."""
-    code = cfg.code_pattern.replace(r"\b", "")
-    pattern, back, title = re.compile(r"([A-Z][A-Za-z0-9 ,/&'\-]{2,70}?)\s*\(\s*(" + code + r")\s*\)"), re.compile(r"([A-Z][A-Za-z0-9 ,/&'()\-]*?\bClause\b)\s*$"), re.compile(TITLE)
-
-    def names(text: str | None) -> list[tuple[str, str]]:
-        out, seen = [], set()
-        for m in pattern.finditer(text or ""):
-            name = re.sub(r"\s+", " ", m[1]).strip().strip(",.-")
-            if t := title.search(name):
-                name = t[1].strip()
-            name = re.sub(r"^([\w']+)\s+\1\b", r"\1", name, flags=re.I)
-            if name.lower() == "clause" and (t := back.search(text[max(0, m.start() - 80) : m.start(2)].rstrip("( "))):
-                name = re.sub(r"\s+", " ", t[1]).strip()
-            found = re.sub(r"[^A-Z0-9]", "", m[2].upper())
-            if (re.search(r"\bclause\b", name, re.I) or len(name.split()) >= 2) and 3 <= len(name) <= 80 and len(found) >= 5 and found not in seen:
-                seen.add(found)
-                out.append((name, m[2]))
-        return out
-
-    def each(batches):
-        for batch in batches:
-            rows = [(k, i, n, c) for k, t in zip(batch[key], batch[text], strict=True) for i, (n, c) in enumerate(names(t))]
-            yield pd.DataFrame(rows, columns=[key, "idx", "name", "code"])
-
-    return df.select(key, text).mapInPandas(each, f"{key} {dict(df.dtypes)[key]}, idx long, name string, code string")
+    """key, idx, name, code: names before "(CODE)", one for each code, in order."""
+    mark = r"[(]\s*(" + cfg.code_pattern.replace(r"\b", "").replace("(?:", "(?:") + r")\s*[)]"
+    rows = references(df, key, text, mark, CODED_CHARS).withColumn("_k", code_key(F.col("mark"))).filter(F.length("_k") >= CODE_CHARS)
+    return first_by(rows, [key, "_k"], F.col("idx")).select(key, F.col("idx").cast("long").alias("idx"), "name", F.col("mark").alias("code"))
 
 
 def built(sections: DataFrame, key: str, running: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
@@ -81,18 +81,16 @@ def without_near_duplicates(rows: DataFrame, key: str, name: str, ordinal: str,
     schema = rows.schema
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        squashed = group[body].fillna("").str.lower().str.replace(r"[^a-z0-9]", "", regex=True)
-        kept: list[tuple] = []
-        for i in sorted(group.index, key=lambda k: (-len(squashed[k]), group[ordinal][k])):
-            s = squashed[i]
-            same = False
-            for _, other in kept:
-                n = min(len(s), len(other))
-                start = next((k for k in range(n) if s[k] != other[k]), n)
-                same = same or len(s) < least or s in other or (n > 0 and start >= share * n)
-            if not same:
-                kept.append((i, s))
-        return group.loc[[i for i, _ in kept]].sort_values(ordinal)
+        bodies = group[body].fillna("").str.lower().str.replace(r"[^a-z0-9]", "", regex=True).tolist()
+        places = group[ordinal].tolist()
+        kept: list[int] = []
+        for i in sorted(range(len(bodies)), key=lambda k: (-len(bodies[k]), places[k])):
+            own = bodies[i]
+            if kept and len(own) < least:
+                continue
+            if not any(own in bodies[k] or len(commonprefix([own, bodies[k]])) >= max(1, share * len(own)) for k in kept):
+                kept.append(i)
+        return group.iloc[kept].sort_values(ordinal)
 
     return rows.groupBy(key, name).applyInPandas(each, schema)
 

@@ -47,6 +47,16 @@ def audit_status(status: Column, share: Column, stage: Column) -> Column:
     return F.when(failed, "failed").when(done, "completed").when(busy, "reviewing").otherwise("pending")
 
 
+def audit_status_list(status: Column, done: Column, total: Column) -> Column:
+    """As lists show it: reviewing is tested before completed (as many results as rules) and failed; cases count where they stand."""
+    s = F.coalesce(status, F.lit(""))
+    busy = F.lower(s).contains("reviewing")
+    for word in ("Processing", "Neural", "Vetting", "Mapping"):  # Fixed values: the names of stages
+        busy = busy | s.contains(word)
+    complete = F.coalesce((total > 0) & (done >= total), F.lit(False))
+    return F.when(busy, "reviewing").when(complete, "completed").when(s.contains("failed") | s.contains("Failed"), "failed").otherwise("pending")
+
+
 def voted(votes: DataFrame, keys: list[str]) -> DataFrame:
     """votes: keys, status, confidence, and a record. The status of most votes (ties: the more severe one) and the record of the
     highest confidence (ties: the smallest record)."""

@@ -49,9 +49,13 @@ def sanitized(sections: DataFrame, key: str, cfg: Config = DEFAULT) -> DataFrame
 def merged_maps(sections: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Sections of several maps of a document: one for each heading and number, paragraphs once, in the order first seen."""
     named = sections.withColumn("_h", F.lower(F.trim("heading"))).withColumn("_n", F.coalesce("number", F.lit("")))
-    parts = F.array_sort(F.collect_list(F.struct(ordinal, "heading", "paragraphs")))
-    out = named.groupBy(key, "_h", "_n").agg(F.min(ordinal).alias(ordinal), parts.alias("_p"))
-    return out.select(key, ordinal, F.element_at("_p", 1)["heading"].alias("heading"), F.nullif("_n", F.lit("")).alias("number"), F.array_distinct(F.flatten(F.transform("_p", lambda x: x["paragraphs"]))).alias("paragraphs"))
+    heads = named.groupBy(key, "_h", "_n").agg(F.min(F.struct(ordinal, "heading")).alias("_first"))
+    places = named.select(key, "_h", "_n", ordinal, F.posexplode("paragraphs").alias("_at", "_p"))
+    once = places.groupBy(key, "_h", "_n", "_p").agg(F.min(F.struct(ordinal, "_at")).alias("_at"))  # before any list is built
+    lists = once.groupBy(key, "_h", "_n").agg(F.array_sort(F.collect_list(F.struct("_at", "_p"))).alias("_l"))
+    both = heads.alias("a").join(lists.alias("b"), F.expr(f"a.{key} <=> b.{key} and a._h <=> b._h and a._n = b._n"), "left")
+    paragraphs = F.coalesce(F.transform("_l", lambda x: x["_p"]), F.array().cast(sections.schema["paragraphs"].dataType))
+    return both.select(f"a.{key}", F.col(f"_first.{ordinal}").alias(ordinal), F.col("_first.heading").alias("heading"), F.nullif("a._n", F.lit("")).alias("number"), paragraphs.alias("paragraphs"))
 
 
 def chosen_map(ai: DataFrame, heuristic: DataFrame, key: str, cfg: Config = DEFAULT) -> DataFrame:

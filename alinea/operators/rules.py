@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alinea.functions.text import library_key
 from alinea.operators.docmap import found_items
 
+BOLD = r"^[*]{2}([^*]+)[*]{2}"  # Fixed value: how a heading stands at the beginning of an evidence text
 NO_EVIDENCE = "No relevant text was found for this rule."
 
 
@@ -80,11 +81,12 @@ def clean_evidence(texts: Column) -> Column:
 
 
 def evidence_rows(results: DataFrame, library: DataFrame, key: str, default: str = "General") -> DataFrame:
-    """results: key, evidence (array of struct<text, item>). A row for each: its section from a bold first line, at most 100
-    characters, the text after it, and the library item if the library has it."""
+    """results: key, evidence (array of struct<text, item>). A row for each: its section from a bold beginning (at most 255
+    characters, of which clause_type has 100), the text after it, and the library item if the library has it."""
     rows = results.select(key, F.posexplode("evidence").alias("idx", "e")).select(key, "idx", "e.text", "e.item")
-    bold = F.regexp_extract("text", r"^[*]{2}([^*]{1,255})[*]{2}\n\n", 1)
-    rows = rows.withColumn("section", F.substring(F.when(bold != "", bold).otherwise(default), 1, 100)).withColumn("text", F.regexp_replace("text", r"^[*]{2}[^*]{1,255}[*]{2}\n\n", ""))
+    bold = F.regexp_extract("text", BOLD, 1)
+    section = F.when(bold != "", bold).otherwise(default)
+    rows = rows.withColumns({"section": F.substring(section, 1, 255), "clause_type": F.substring(section, 1, 100), "text": F.regexp_replace("text", BOLD + r"\n\n", "")})
     known = library.select("item", F.lit(True).alias("_known"))
     return rows.join(known, "item", "left").withColumn("item", F.when(F.col("_known"), F.col("item"))).drop("_known")
 

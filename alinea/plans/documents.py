@@ -77,11 +77,10 @@ def _(t):
 PAIRS = "select a.vec_id as q, b.vec_id as item, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, a.label = b.label as same from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id"
 
 
-def dense(t: Tables, k: int, least: float) -> DataFrame:
-    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    library = t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w"))
-    hits = similarity.vector_top_k(queries, library, k + 1, least).filter("q <> item")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).filter(F.col("rank") <= k)
+def dense(t: Tables, k: int, least: float, kind: str = "any", of_items: str = "true", **more) -> DataFrame:
+    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label")
+    library = t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w"), "label").filter(of_items)
+    return similarity.vector_top_k(queries, library, k, least, kind, **more)
 
 
 @query("jn_vector_topk", f"select q, item, round(s, 6) as similarity from ({PAIRS}) where s > 0.4 qualify row_number() over (partition by q order by round(s, 9) desc, item) <= 5")
@@ -106,27 +105,19 @@ def _(t):
 
 @query("sim_war", f"select q, item from (select *, row_number() over (partition by q order by round(s, 9) desc, item) as rank from ({PAIRS}) where s > 0.4 and same) where rank <= 2")
 def _(t):
-    labels = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").alias("of_item"))
-    own = t.embeddings.select(F.col("vec_id").alias("q"), F.col("label").alias("of_q"))
-    hits = dense(t, 1_000_000_000, 0.4).join(labels, "item").join(own, "q").filter("of_item = of_q")
-    return relations.top_k(hits.drop("rank"), ["q"], 2, F.desc(F.round("similarity", 9)), F.col("item")).select("q", "item")
+    return dense(t, 2, 0.4, "same").select("q", "item")
 
 
 @query("sim_gen", f"select q, item from (select *, row_number() over (partition by q order by round(s, 9) desc, item) as rank from ({PAIRS}) where item % 2 = 0) where rank <= 5")
 def _(t):
-    hits = dense(t, 1_000_000_000, -2.0).filter("item % 2 = 0")  # the kind that is searched for
-    return relations.top_k(hits.drop("rank"), ["q"], 5, F.desc(F.round("similarity", 9)), F.col("item")).select("q", "item")
+    return dense(t, 5, -2.0, of_items="item % 2 = 0").select("q", "item")  # the kind that is searched for
 
 
 @query("sim_match", f"""select q, item, round(s2, 3) as confidence, s2 >= 0.75 as recommended from (select *, row_number() over (partition by q order by round(s2, 9) desc, item) as rank
  from (select q, item, case when same then least(1.0::double, s * 1.1) else s end as s2 from ({PAIRS}) where s > 0.3) where s2 >= 0.5) where rank <= 5""")
 def _(t):
-    labels = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").alias("of_item"))
-    own = t.embeddings.select(F.col("vec_id").alias("q"), F.col("label").alias("of_q"))
-    hits = dense(t, 1_000_000_000, 0.3).join(labels, "item").join(own, "q")
-    hits = hits.withColumn("s", similarity.boosted(F.col("similarity"), F.col("of_item") == F.col("of_q"), F.lit(False))).filter("s >= 0.5")
-    best = relations.top_k(hits.drop("rank"), ["q"], 5, F.desc(F.round("s", 9)), F.col("item"))
-    return best.select("q", "item", F.round("s", 3).alias("confidence"), (F.col("s") >= 0.75).alias("recommended"))
+    best = dense(t, 5, 0.3, "boosted", from_boosted=0.5)
+    return best.select("q", "item", F.round("similarity", 3).alias("confidence"), (F.col("similarity") >= 0.75).alias("recommended"))
 
 
 @query("sim_rag", f"""with h as ({PAIRS}), n as (select q % 1000 as g, q, item, s from h where 1 - s < 0.5 qualify row_number() over (partition by q order by round(s, 9) desc, item) <= 5),
@@ -138,7 +129,8 @@ def _(t):
 
 @query("sim_batch", f"select q, coalesce(max(s), 0) >= 0.98 as hit, count(s) filter (where s >= 0.9) as n from ({PAIRS}) group by q")
 def _(t):
-    hits = dense(t, 1_000_000_000, 0.9).filter("similarity >= 0.9").groupBy("q").agg(F.max("similarity").alias("s"), F.count("*").alias("n"))
+    """All hits from 0.9 on count, so there is no k: what a query gets is as large as what is counted."""
+    hits = dense(t, 1_000_000_000, -2.0, from_boosted=0.9).groupBy("q").agg(F.max("similarity").alias("s"), F.count("*").alias("n"))
     queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"))
     return queries.join(hits, "q", "left").select("q", (F.coalesce("s", F.lit(0.0)) >= 0.98).alias("hit"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -208,9 +200,9 @@ def _(t):
 # Keys and scalar functions
 
 
-@query("cnd_key", r"select doc_id, trim(regexp_replace(regexp_replace(lower(text[:200]), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as k from documents")
+@query("cnd_key", r"select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) as k from documents")
 def _(t):
-    return t.documents.select("doc_id", X.heading_key(F.substring("text", 1, 200)).alias("k"))
+    return t.documents.select("doc_id", X.heading_key(F.col("text")).alias("k"))
 
 
 @query("cnd_namekey", r"select p_partkey, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '(^| )clauses?$', '')) as k from part")
@@ -369,36 +361,62 @@ def sections_of(t: Tables) -> DataFrame:
 
 @query("cnd_noise")
 def _(t):
-    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", X.is_label_heading(F.substring("block", 1, 200)).alias("noise"))
+    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", X.is_label_heading(F.col("block")).alias("noise"))
 
 
-@query("cnd_defrag", "select n_nationkey, case when n_nationkey % 2 = 0 then 'LIMITS AND RETENTIONS' else 'LIMITS AND' end as heading from nation")
+@query("cnd_defrag", "select c_custkey, case c_custkey % 3 when 0 then 'LIMITS AND ' || c_mktsegment when 1 then 'LIMITS AND' else 'LIMITS FOR ' || c_mktsegment end as heading from customer")
 def _(t):
-    body = F.when(F.col("n_nationkey") % 2 == 0, "RETENTIONS: 100 each").otherwise("limits and so on")
-    return t.nation.select("n_nationkey", X.joined_heading(F.lit("LIMITS AND"), body).alias("heading"))
+    body = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_mktsegment", F.lit(": 100 each"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("limits and "), F.lower("c_mktsegment")))
+    return t.customer.select("c_custkey", X.joined_heading(F.when(F.col("c_custkey") % 3 < 2, "LIMITS AND").otherwise(F.concat(F.lit("LIMITS FOR "), "c_mktsegment")), F.coalesce(body, F.lit("RETENTION: 1"))).alias("heading"))
 
 
-@query("cnd_asref", "select n_nationkey, 0 as idx, 'Period Clause' as name from nation")
+SEGMENT = "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])"
+
+
+def referring(t: Tables, mark) -> DataFrame:
+    """Texts with a name before a mark, after a label, prose or the end of a sentence; the name comes again; some have no mark."""
+    lead = F.when(F.col("c_custkey") % 4 == 0, "PERIOD ").when(F.col("c_custkey") % 4 == 1, "as agreed under the ").when(F.col("c_custkey") % 4 == 2, "It ends. ").otherwise("")
+    name = F.concat(F.initcap("c_mktsegment"), F.lit(" Clause"))
+    return t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.concat(lead, name, F.lit(" "), mark, F.lit(" and  "), name, mark, F.lit(". "), "c_name")).otherwise(F.concat(name, F.lit(" without a mark"))).alias("text"))
+
+
+@query("cnd_asref", f"select c_custkey, 0 as idx, {SEGMENT} || ' Clause' as name from customer where c_custkey % 5 > 0")
+def _(t):
+    return candidates.attached_references(referring(t, F.when(F.col("c_custkey") % 2 == 0, "(As attached)").otherwise("( as  expiring )")).withColumn("text", F.replace("text", F.lit("as  exp"), F.lit("as exp"))), "c_custkey", "text")
+
+
+@query("cnd_coderef", f"select c_custkey, 0::bigint as idx, {SEGMENT} || ' Clause' as name, 'LSW ' || (c_custkey % 900 + 100) as code from customer where c_custkey % 5 > 0")
 def _(t):
-    rows = t.nation.select("n_nationkey", F.concat(F.lit("PERIOD Period Clause (As attached), Period Clause (as expiring) "), "n_name").alias("text"))
-    return candidates.attached_references(rows, "n_nationkey", "text")
+    return candidates.coded_references(referring(t, F.concat(F.lit("(LSW "), (F.col("c_custkey") % 900 + 100).cast("string"), F.lit(")"))), "c_custkey", "text")
+
 
+def contracts(t: Tables) -> DataFrame:
+    """doc_id, text: an opening, two provisions, and a third with the first one's heading, which for even keys repeats it."""
+    again = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("The limit is "), "c_custkey", F.lit(" in all."))).otherwise(F.repeat(F.lit("Another limit holds. "), F.lit(5)))
+    name = F.initcap("c_mktsegment")
+    parts = [F.concat(F.lit("Opening words of "), "c_name"), F.lit("LIMITS CLAUSE"), F.concat(F.lit("The limit is "), "c_custkey", F.lit(" in all.")), F.concat(F.lit("2. "), name, F.lit(" Notice")), F.concat(F.lit("It is told within days under the "), name, F.lit(" Clause (LSW 101).")), F.lit("LIMITS CLAUSE"), again]
+    return t.customer.select(F.col("c_custkey").alias("doc_id"), F.concat_ws("\n\n", *parts).alias("text"))
 
-@query("cnd_coderef", "select n_nationkey, 0::bigint as idx, 'Loss Clause' as name, 'LSW 305' as code from nation")
+
+@query("cnd_build", f"""select c_custkey as doc_id, 1::bigint as section, 'LIMITS CLAUSE' as heading, 'The limit is ' || c_custkey || ' in all.' as body from customer
+ union all select c_custkey, 2, '2. ' || {SEGMENT} || ' Notice', 'It is told within days under the ' || {SEGMENT} || ' Clause (LSW 101).' from customer
+ union all select c_custkey, 3, 'LIMITS CLAUSE', trim(repeat('Another limit holds. ', 5)) from customer where c_custkey % 2 = 1 union all select c_custkey, 0, {SEGMENT} || ' Clause', '' from customer""")
 def _(t):
-    rows = t.nation.select(F.col("n_nationkey"), F.concat(F.lit("under Loss Clause (LSW 305). Loss Clause (LSW305) "), "n_name").alias("text"))
-    return candidates.coded_references(rows, "n_nationkey", "text")
+    docs = contracts(t)
+    found = candidates.built(docmap.heuristic_sections(docs, "doc_id", "text"), "doc_id", docmap.running_headers(docs, "doc_id", "text"))
+    return candidates.with_references(found, candidates.coded_references(docs, "doc_id", "text"), "doc_id").select("doc_id", "section", "heading", "body")
 
 
-@query("cnd_build")
+@query("cnd_build_documents")
 def _(t):
     return candidates.built(sections_of(t), "doc_id", docmap.running_headers(t.documents, "doc_id", "text")).drop("_k")
 
 
 @query("cnd_neardup")
 def _(t):
-    rows = t.documents.select("source", "lang", "doc_id", F.col("text"))
-    return candidates.without_near_duplicates(rows, "source", "lang", "doc_id", "text").select("source", "lang", "doc_id")
+    """Sections of one document whose headings have one name key: small groups, as many as there are names."""
+    rows = sections_of(t).select("doc_id", X.name_key(F.col("heading")).alias("name_key"), "section", "body")
+    return candidates.without_near_duplicates(rows.withColumn("part", F.concat_ws("/", F.col("doc_id").cast("string"), "name_key")), "part", "name_key", "section", "body").select("doc_id", "name_key", "section")
 
 
 @query("cnd_codeindex", "select code_key, min(p_partkey) as p_partkey from (select regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') as code_key, p_partkey from part) where length(code_key) >= 5 group by code_key")
@@ -411,9 +429,9 @@ def _(t):
     return candidates.name_index(t.part.select("p_partkey", "p_name", F.lit(False).alias("is_global")), "p_partkey", "p_name")
 
 
-@query("cnd_appendix")
+@query("cnd_appendix", "select c_custkey as doc_id, 1::bigint as section, 3::bigint as other from customer where c_custkey % 2 = 1")
 def _(t):
-    s = sections_of(t)
+    s = docmap.heuristic_sections(contracts(t), "doc_id", "text")
     return candidates.appendices(s.select("doc_id", "section", "heading"), s, "doc_id").select("doc_id", "section", "other")
 
 
@@ -499,9 +517,9 @@ def _(t):
     return t.part.select("p_partkey", F.when(wanted, F.substring(F.concat_ws(" ", "p_name", "p_type"), 1, 2000)).alias("context"))
 
 
-@query("rul_clean_evidence", "select doc_id, (length(trim(text[:15], ' ')) >= 10 and regexp_matches(text[:15], '[A-Za-z]'))::int::bigint as kept from documents")
+@query("rul_clean_evidence", "select doc_id, (length(trim(text, ' ')) >= 10 and regexp_matches(text, '[A-Za-z]'))::int::bigint as kept from documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(rules.clean_evidence(F.array(F.substring("text", 1, 15)))).cast("long").alias("kept"))
+    return t.documents.select("doc_id", F.size(rules.clean_evidence(F.array("text"))).cast("long").alias("kept"))
 
 
 @query("rul_upsert", "select doc_id, coalesce(l.quality, 9) as quality, case when l.doc_id is null then 0 else 1 end as fresh, d.n_chars as bias from documents d left join labels l using (doc_id)")
@@ -516,25 +534,33 @@ def _(t):
     return relations.inserted_if_absent(t.labels.select("doc_id", "toxic"), t.documents.select("doc_id", F.lit(7).alias("toxic")), ["doc_id"])
 
 
-@query("rul_evidence_rows", "select p_partkey, 0 as idx, p_name as section, p_type as text, case when p_size <= 25 then p_size end as item from part")
+@query("rul_evidence_rows", """select p_partkey, 0 as idx, (p_name || repeat(' and on', p_size % 50))[:255] as section, (p_name || repeat(' and on', p_size % 50))[:100] as clause_type, p_type as text, case when p_size <= 25 then p_size end as item from part
+ union all select p_partkey, 1, 'General', 'General', p_type, null from part""")
 def _(t):
-    one = F.struct(F.concat(F.lit("**"), "p_name", F.lit("**\n\n"), "p_type").alias("text"), F.col("p_size").alias("item"))
+    heading = F.concat("p_name", F.repeat(F.lit(" and on"), F.pmod("p_size", F.lit(50))))
+    one = F.struct(F.concat(F.lit("**"), heading, F.lit("**\n\n"), "p_type").alias("text"), F.col("p_size").alias("item"))
+    two = F.struct(F.col("p_type").alias("text"), F.lit(None).cast("int").alias("item"))
     library = t.nation.select((F.col("n_nationkey") + 1).alias("item"))
-    return rules.evidence_rows(t.part.select("p_partkey", F.array(one).alias("evidence")), library, "p_partkey").select("p_partkey", "idx", "section", "text", "item")
+    return rules.evidence_rows(t.part.select("p_partkey", F.array(one, two).alias("evidence")), library, "p_partkey").select("p_partkey", "idx", "section", "clause_type", "text", "item")
 
 
-@query("jn_evidence_chunk", "with e as (select doc_id, 0 as idx, text[1:60] as text from documents where length(text) > 200) select doc_id, idx, 0::bigint as chunk_id from e")
+@query("jn_evidence_chunk", """with c as (select doc_id, k as chunk_id, text[k * 150 + 1 : k * 150 + 150] as chunk from (select doc_id, text, unnest(range(0, ceil(length(text) / 150.0)::bigint)) as k from documents)),
+ e as (select doc_id, k as idx, text[k * 600 + 31 : k * 600 + 90] as text from (select doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 600.0))::bigint)) as k from documents)),
+ m as (select e.doc_id, idx, min(chunk_id) as chunk_id from e left join c on e.doc_id = c.doc_id and length(e.text) >= 12 and (contains(c.chunk, e.text) or contains(e.text, c.chunk[:100])) group by all)
+ select doc_id, idx, case when row_number() over (partition by doc_id, chunk_id order by idx) = 1 then chunk_id end as chunk_id from m""")
 def _(t):
-    long = t.documents.filter(F.length("text") > 200)
-    evidence = long.select("doc_id", F.lit(0).alias("idx"), F.substring("text", 1, 60).alias("text"))
-    parts = chunk.exploded(long, chunk.pieces(F.col("text"), 150), "doc_id").select("doc_id", F.col("idx").cast("long").alias("chunk_id"), F.col("idx").alias("chunk_rank"), "chunk", F.lit(0.9).alias("similarity"))
+    """Evidence from every 600 characters of every document against its chunks of 150: missing, early and second matches occur."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 600)).cast("int")
+    evidence = t.documents.filter("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
+    evidence = evidence.select("doc_id", F.col("idx").cast("long").alias("idx"), F.substring("text", F.col("idx") * 600 + 31, F.lit(60)).alias("text"))
+    parts = chunk.exploded(t.documents, chunk.pieces(F.col("text"), 150), "doc_id").select("doc_id", F.col("idx").cast("long").alias("chunk_id"), F.col("idx").alias("chunk_rank"), "chunk", F.lit(0.9).alias("similarity"))
     return rules.attributed(evidence, parts, "doc_id").select("doc_id", "idx", "chunk_id")
 
 
 @query("jn_breadcrumb")
 def _(t):
     s = sections_of(t)
-    evidence = s.select("doc_id", F.col("section").alias("from"), F.substring("body", 1, 60).alias("e")).filter(F.length("e") > 12)
+    evidence = s.select("doc_id", F.col("section").alias("from"), F.col("body").alias("e")).filter(F.length("e") > 12)
     hits = evidence.join(s.select("doc_id", "section", "heading", "body"), "doc_id").filter(F.col("body").contains(F.col("e")))
     return hits.groupBy("doc_id", "from").agg(F.min_by("heading", "section").alias("heading"))
 

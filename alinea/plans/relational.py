@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alinea.functions import json as J
 from alinea.functions import text as X
+from alinea.operators.docmap import found_items
 from alinea.operators import classify, relations
 from alinea.plans.base import query
 from alinea.sources import tables as S
@@ -60,35 +61,46 @@ def _(t):
     return t.part.select("p_partkey", F.explode(S.page_ranges(F.col("p_size"))).alias("r")).select("p_partkey", F.col("r.first").alias("first_page"), F.col("r.end").alias("end_page"))
 
 
-@query("src_merge_text", """select conv_id, string_agg('--- PAGE ' || turn::varchar || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by turn, text) as text from conversations group by conv_id""")
+@query("src_merge_text", """select conv_id, string_agg('--- PAGES ' || (turn * 5 + 1)::varchar || '-' || (turn * 5 + 5)::varchar || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by turn, text) as text from conversations group by conv_id""")
+def _(t):
+    pages = t.conversations.select("conv_id", (F.col("turn") * 5 + 1).alias("first"), (F.col("turn") * 5 + 5).alias("last"), "text")
+    return S.joined_chunks(pages, "conv_id", "first", "last", "text")
+
+
+@query("src_merge_pages", """select conv_id, string_agg('--- PAGE ' || turn::varchar || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by turn, text) as text from conversations group by conv_id""")
 def _(t):
     return S.joined_pages(t.conversations, "conv_id", "turn", "text")
 
 
-@query("src_table_filter", "select p_partkey, p_size >= 2 and p_size % 7 >= 2 as kept from part")
+@query("src_table_filter", "select p_partkey, p_size % 6 >= 2 and p_partkey % 9 >= 2 and (p_partkey % 7)::double / (p_partkey % 9) >= 0.25 as kept from part where p_partkey % 7 <= p_partkey % 9")
 def _(t):
-    row = F.array_repeat(F.lit("x"), F.pmod("p_size", F.lit(7)).cast("int"))
-    return t.part.select("p_partkey", F.when(F.col("p_size") > 0, X.keeps_table(F.array_repeat(row, F.col("p_size")))).otherwise(False).alias("kept"))
+    """Rows of p_partkey % 9 cells, of which p_partkey % 7 are filled and the others null or blank."""
+    wide, full = (F.col("p_partkey") % 9).cast("int"), (F.col("p_partkey") % 7).cast("int")
+    row = F.concat(F.array_repeat(F.lit("x"), full), F.array_repeat(F.when(F.col("p_partkey") % 2 == 0, "  "), wide - full))
+    return t.part.filter(full <= wide).select("p_partkey", F.coalesce(X.keeps_table(F.array_repeat(row, F.pmod("p_size", F.lit(6)))), F.lit(False)).alias("kept"))
 
 
-@query("src_table_md", """select n_nationkey, '| nation | region |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || case when n_regionkey = 0 then '' else n_regionkey::varchar end || ' |' as md from nation""")
+@query("src_table_md", """select c_custkey, '| name | x y |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || case when c_nationkey % 3 = 0 then '' when c_nationkey % 3 = 1 then c_mktsegment else 'a ' || c_nationkey end || ' |' as md from customer""")
 def _(t):
-    cells = F.array(F.array(F.lit("nation"), F.lit("region")), F.array(F.col("n_name"), F.when(F.col("n_regionkey") != 0, F.col("n_regionkey").cast("string"))))
-    return t.nation.select("n_nationkey", X.table_markdown(cells).alias("md"))
+    value = F.when(F.col("c_nationkey") % 3 == 1, F.concat(F.lit("\n "), "c_mktsegment")).when(F.col("c_nationkey") % 3 == 2, F.concat(F.lit("a\n"), "c_nationkey"))
+    row = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.concat(F.lit("  "), "c_name"), value, F.lit("beyond the header"))).when(value.isNull(), F.array("c_name")).otherwise(F.array("c_name", value))
+    return t.customer.select("c_custkey", X.table_markdown(F.array(F.array(F.lit(" name"), F.lit("x\ny ")), row)).alias("md"))
 
 
-@query("src_ocr_repair", "select n_nationkey, 'see ABC 3010 and' || chr(10) || chr(10) || n_name as repaired from nation")
+@query("src_ocr_repair", """select c_custkey, 'see LSW' || (c_custkey % 9900 + 10) || case when c_custkey % 2 = 0 then 'A' else '' end || ' and' || chr(10) || chr(10) || c_name || ' OIL SO85' as repaired from customer""")
 def _(t):
-    return t.nation.select("n_nationkey", X.repaired_codes(F.concat(F.lit("see ABC 3O1Q and\n****\n\n\n"), "n_name")).alias("repaired"))
+    code = F.translate((F.col("c_custkey") % 9900 + 10).cast("string"), "0158", "OISB")
+    text = F.concat(F.lit("\n see "), F.when(F.col("c_custkey") % 3 == 0, "LSW ").otherwise("Lsw"), code, F.when(F.col("c_custkey") % 2 == 0, "a").otherwise(""), F.lit(" and\n**__**\n\n| |\n\n"), "c_name", F.lit(" OIL SO85\n\n"))
+    return t.customer.select("c_custkey", X.repaired_codes(text).alias("repaired"))
 
 
-@query("snk_json_export", "select doc_id, lang from documents where doc_id % 2 = 0")
+@query("snk_json_export", "select doc_id, lang, text from documents")
 def _(t):
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    rows = t.documents.filter("doc_id % 2 = 0").select("doc_id", "lang")
-    line = rows.select(F.to_json(F.struct("doc_id", "lang")).alias("line"))  # what a JSON sink writes, read again
-    shape = StructType([StructField("doc_id", LongType()), StructField("lang", StringType())])
+    rows = t.documents.select("doc_id", "lang", "text")
+    line = rows.select(F.to_json(F.struct("doc_id", "lang", "text")).alias("line"))  # what a JSON sink writes, read again
+    shape = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), StructField("text", StringType())])
     return line.select(F.from_json("line", shape).alias("r")).select("r.*")
 
 
@@ -238,6 +250,12 @@ def _(t):
     return t.events.select("event_id", classify.audit_status(name, F.col("value"), F.lit(None).cast("string")).alias("status"))
 
 
+@query("prj_audit_status_list", """select event_id, case when event_type = 'view' then 'reviewing' when user_id % 7 > 0 and value >= user_id % 7 then 'completed' when event_type = 'error' then 'failed' else 'pending' end as status from events""")
+def _(t):
+    name = F.when(F.col("event_type") == "view", "Neural Mapping failed").when(F.col("event_type") == "error", "has failed").otherwise(F.upper("event_type"))
+    return t.events.select("event_id", classify.audit_status_list(name, F.col("value"), F.col("user_id") % 7).alias("status"))
+
+
 @query("prj_initcap", "select event_id, upper(event_type[1]) || event_type[2:] as label from events")
 def _(t):
     return t.events.select("event_id", X.first_upper(F.col("event_type")).alias("label"))
@@ -323,23 +341,23 @@ def _(t):
     return t.documents.select("doc_id").join(over, "doc_id", "left").select("doc_id", F.coalesce("override", F.lit("active")).alias("effective"))
 
 
-@query("jn_contains", """with l as (select p_partkey, p_name from part where p_partkey <= 50), q as (select n_nationkey, n_name || ' ' || (select string_agg(p_name, ' ' order by p_partkey) from l where p_partkey % 25 = n_nationkey) as t from nation)
- select n_nationkey, arg_max(p_partkey, length(p_name) * 1000 - p_partkey) as found from q join l on contains(t, p_name) group by n_nationkey""")
+@query("jn_contains", """with q as (select n_nationkey, n_name || ' ' || p.t as t from nation join (select p_partkey % 25 as n_nationkey, string_agg(p_name, ' ' order by p_partkey) as t from part group by 1) p using (n_nationkey))
+ select n_nationkey, arg_max(p_partkey, length(p_name) * 100000000 - p_partkey) as found from q join part on contains(t, p_name) group by n_nationkey""")
 def _(t):
-    library = t.part.filter("p_partkey <= 50").select("p_partkey", "p_name")
-    joined = library.groupBy((F.col("p_partkey") % 25).alias("n_nationkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names"))
-    queries = t.nation.join(joined, "n_nationkey").select("n_nationkey", F.concat_ws(" ", "n_name", "names").alias("t"))
-    hits = queries.join(F.broadcast(library), F.col("t").contains(F.col("p_name")))  # 50 rows
-    return hits.groupBy("n_nationkey").agg(F.max_by("p_partkey", F.length("p_name") * 1000 - F.col("p_partkey")).alias("found"))
+    joined = t.part.groupBy((F.col("p_partkey") % 25).alias("n_nationkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names"))
+    texts = t.nation.join(joined, "n_nationkey").select("n_nationkey", F.concat_ws(" ", "n_name", "names").alias("t"))
+    hits = found_items(texts, t.part.select("p_partkey", F.length("p_name").alias("n"), "p_name"), "n_nationkey", "t", "p_name")
+    return hits.groupBy("n_nationkey").agg(F.max_by("p_partkey", F.struct("n", -F.col("p_partkey"))).alias("found"))
 
 
-@query("jn_rule_clause", """with a as (select distinct p_partkey, unnest(string_split(lower(p_name), ' ')) as w from part where p_partkey <= 40), b as (select distinct p_partkey as other, unnest(string_split(lower(p_name), ' ')) as w from part where p_partkey > 40 and p_partkey <= 120)
- select distinct p_partkey as rule_id, other as clause_id from a join b using (w) where length(w) > 3 and regexp_full_match(w, '[a-z0-9]+')""")
+@query("jn_rule_clause", """with a as (select distinct p_type as rule_id, unnest(string_split(lower(p_type), ' ')) as w from part), b as (select distinct p_partkey, unnest(string_split(lower(p_type), ' ')) as w from part)
+ select distinct rule_id, p_partkey as clause_id from a join b using (w) where length(w) > 3""")
 def _(t):
+    """Rules are the types of parts, clauses all parts: a pair shares a word."""
     from alinea.operators.rules import clause_matches
 
-    rules = t.part.filter("p_partkey <= 40").select(F.col("p_partkey").alias("rule_id"), F.split("p_name", " ").alias("words"))
-    return clause_matches(rules, t.part.filter("p_partkey > 40 and p_partkey <= 120").select(F.col("p_partkey").alias("clause_id"), F.col("p_name").alias("name")))
+    rules = t.part.select(F.col("p_type").alias("rule_id"), F.split("p_type", " ").alias("words")).distinct()
+    return clause_matches(rules, t.part.select(F.col("p_partkey").alias("clause_id"), F.col("p_type").alias("name")))
 
 
 @query("jn_interval", """with s as (select o_custkey as doc, o_orderkey as page, o_orderkey % 900 as a, o_orderkey % 900 + 60 as b from orders), f as (select c_custkey as doc, 100 as lo, 400 as hi from customer)
@@ -445,10 +463,11 @@ def _(t):
     return once.crossJoin(rows.agg(F.count("*").alias("total")))  # one row each
 
 
-@query("agg_group_list", "select source, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as docs from documents where doc_id % 50 = 0 group by source")
+@query("agg_group_list", "select source, doc_id, count(*) over (partition by source) as n, min(doc_id) over (partition by source) as place from documents")
 def _(t):
-    rows = t.documents.filter("doc_id % 50 = 0")  # a topic of the report, not a sample
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    """A row for each document below its source, with the source's count and place; no list of a whole source is built."""
+    heads = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("place"))
+    return t.documents.alias("d").join(heads.alias("h"), F.expr("d.source <=> h.source")).select("d.source", "d.doc_id", "h.n", "h.place")
 
 
 @query("agg_evidence_stats", "select lang, count(source) as total, count(distinct source) as sections, count(*) filter (where doc_id % 3 = 0) as matched, count(*) filter (where doc_id % 10 = 0) as manual, round(coalesce(avg(case when doc_id % 3 = 0 then 0.5 end::double), 0), 6) as average from documents group by lang")

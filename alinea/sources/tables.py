@@ -47,6 +47,13 @@ def joined_pages(df: DataFrame, key: str, page: str, text: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(mark, "\n\n").alias("text"))
 
 
+def joined_chunks(df: DataFrame, key: str, first: str, last: str, text: str) -> DataFrame:
+    """Texts of page ranges in order, each under a mark of its pages."""
+    parts = F.array_sort(F.collect_list(F.struct(first, last, text)))
+    mark = F.transform(parts, lambda p: F.concat(F.lit("--- PAGES "), p[first].cast("string"), F.lit("-"), p[last].cast("string"), F.lit(" ---\n"), F.coalesce(p[text], F.lit(""))))
+    return df.groupBy(key).agg(F.array_join(mark, "\n\n").alias("text"))
+
+
 def json_export(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
