@@ -296,15 +296,27 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
     members = with_tokens(docs, wanted, p).select(F.explode("groups").alias("group"), "id", F.lit(0).alias("role"), "tokens")
     links = written(opened(members, p), "found")
     discard(left)
+
+    def joined() -> DataFrame:
+        out = components(links)  # a table of its own
+        discard(links)
+        return out
+
+    def with_more(groups: DataFrame) -> DataFrame:
+        new = written(links.unionByName(opened(groups.join(sets, "id"), p)), "found")
+        discard(links)
+        return new
+
     if not hot.limit(1).count():
-        return components(links)
+        discard(hot)
+        return joined()
     sets = written(with_tokens(docs, hot.select("id", F.lit(1).alias("one")).distinct(), p).select("id", "tokens"), "sets")
     homes = written(hot.groupBy("id").agg(F.max(F.struct("size", "key")).alias("x")).select("id", F.col("x.key").alias("home"), "x.size"), "homes")
     cells = lambda n: F.ceil(n / p.cell).cast("int")
     for turn in range(p.rounds):
         cell = F.pmod(F.xxhash64("id", F.lit(turn)), cells(F.col("size")))
         members = homes.select(F.xxhash64("home", cell).alias("group"), "id", F.lit(0).alias("role"))
-        links = written(links.unionByName(opened(members.join(sets, "id"), p)), "found")
+        links = with_more(members)
     marked = hot.join(homes.select("id", "home"), "id").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     marked = written(marked, "marked")
     # of a group those go without a query that are joined already, or those whose home is another group, the same for all of them
@@ -318,10 +330,10 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
     stay = rest.select("key", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), counted("blocks").alias("block"), F.lit(0).alias("role"))
     ask = rest.filter("asks").select("key", "id", counted("parts").alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
     queries = stay.unionByName(ask).select(F.xxhash64("key", "part", "block").alias("group"), "id", "role")
-    links = written(links.unionByName(opened(queries.join(sets, "id"), p)), "found")
+    links = with_more(queries)
     for old in (hot, sets, homes, marked, rest):
         discard(old)
-    return components(links)
+    return joined()
 
 
 def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
