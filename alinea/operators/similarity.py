@@ -23,9 +23,8 @@ BROADCAST_ROWS = 50_000  # of a library of vectors; beyond, both sides are dealt
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, n, norm: the frequencies of each text's terms, and their length as a vector."""
     each = df.select(key, F.explode(F.split(library_key(F.col(text)), " ")).alias("term")).filter("term <> ''")
-    counts = each.groupBy(key, "term").agg(F.count("*").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norms, key)
+    counts = each.repartition(key).groupBy(key, "term").agg(F.count("*").alias("n"))  # one exchange serves counts and norms
+    return counts.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)).cast("double")))
 
 
 def text_similarity(queries: DataFrame, library: DataFrame, query: str, item: str, text: str = "text", most_docs: int | None = None) -> DataFrame:
