@@ -155,6 +155,25 @@ def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, lis
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+BITS = 1 << 26  # of a mark of ids: 8 MB are broadcast at most, whatever the input
+
+
+def perhaps_among(df: DataFrame, id: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose id may be among ids (a table's column of that name), and those whose id surely is not; null is not.
+
+    ids become bits by their hash, BITS in all, which a broadcast tells to the scan of df. So a join with few ids need not
+    shuffle all texts. The more ids there are, the more rows pass as possible; then the join itself decides on all of them.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITS)) + 1
+    bits = ids.filter(F.col(id).isNotNull()).select(place(id).alias("p"))
+    bits = bits.groupBy(F.bitmap_bucket_number("p").alias("_alinea_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_alinea_bits"))
+    both = df.join(F.broadcast(bits), F.bitmap_bucket_number(place(id)) == F.col("_alinea_bucket"), "left")
+    at = F.bitmap_bit_position(place(id)).cast("int")
+    byte = F.conv(F.hex(F.substring("_alinea_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)) & F.col(id).isNotNull()
+    return tuple(both.filter(c).drop("_alinea_bucket", "_alinea_bits") for c in (may, ~may))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32 of the id as text leaves no remainder modulo 5; such rows are never learnt from."""
     return F.coalesce(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 5 == 0, F.lit(False))

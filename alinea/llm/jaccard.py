@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_groups, map_rows, written
+from .common import discard, map_groups, map_rows, perhaps_among, written
 from .links import components
 
 
@@ -263,7 +263,8 @@ def with_tokens(docs: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
     def each(batch: pd.DataFrame) -> pd.DataFrame:
         return batch.drop(columns="text").assign(tokens=[shingles(t, p.words) for t in batch["text"]])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(rows, "id")
+    texts, _ = perhaps_among(docs.select(F.col("doc_id").alias("id"), "text"), "id", rows.select("id"))
+    texts = texts.join(rows, "id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
     return map_rows(texts.select("id", "text", *[c for c in rows.columns if c != "id"]), f"id long, {kinds}, tokens array<bigint>", lambda: each)
 
@@ -359,6 +360,9 @@ def keep_first(docs: DataFrame, p: Params = Params(words=5, percent=80)) -> Data
 
     Rows of one doc_id with different texts are different rows: they stay or go together, as links name the doc_id.
     """
-    leaders = jaccard_components(docs, p).filter("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.filter("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return ids.unionByName(docs.filter("doc_id is null"))
+    own = F.col("doc_id") == F.col("component_id")
+    ids = jaccard_components(docs, p).filter("doc_id is not null").groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n"))
+    some = written(ids.filter("not stays or n > 1"), "some")  # ids that go or come again; all other rows stay where they are
+    seen, others = perhaps_among(docs, "doc_id", some)
+    seen = seen.join(some.filter("not stays").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return others.unionByName(seen)

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from alinea.llm import anchors, bpe, edits, forest, jaccard, langid, links, minhash, mixing, secrets, suffixes, toxicity
+from alinea.llm import anchors, bpe, common, edits, forest, jaccard, langid, links, minhash, mixing, secrets, suffixes, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key long, id string, n int"
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
@@ -403,3 +403,23 @@ def test_field_finds_secrets_that_no_pattern_takes():
         found += any(a <= at + 4 and b >= at + len(value) for _, a, b in secrets.all_spans(planted, field)[1])
         wrong += len(secrets.all_spans(clean, field)[1])
     assert found >= 180 and wrong <= 2
+
+
+def test_perhaps_among_parts_rows(spark):
+    """Every row is on one side; all rows whose id is among ids are on the first, nulls on the second. Column names may clash."""
+    df = spark.createDataFrame([(i, "x") for i in [*range(-50, 50), 7, None]], "doc_id int, p string")
+    ids = spark.createDataFrame([(i,) for i in (7, -3, 1 << 40, None)], "doc_id long")
+    seen, others = common.perhaps_among(df, "doc_id", ids)
+    assert seen.columns == others.columns == df.columns
+    assert sorted(r.doc_id for r in seen.collect()) == [-3, 7, 7]
+    assert others.count() == 99 and others.filter("doc_id is null").count() == 1
+    seen, others = common.perhaps_among(df, "doc_id", ids.limit(0))
+    assert (seen.count(), others.count()) == (0, 102)
+
+
+def test_perhaps_among_with_few_bits(spark, monkeypatch):
+    """With fewer bits than ids more rows are seen, none less."""
+    monkeypatch.setattr(common, "BITS", 64)
+    df = spark.range(3000).withColumnRenamed("id", "doc_id")
+    seen, others = common.perhaps_among(df, "doc_id", df.filter("doc_id % 100 = 0"))
+    assert {r.doc_id for r in seen.collect()} >= set(range(0, 3000, 100)) and seen.count() + others.count() == 3000
