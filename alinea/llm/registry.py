@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edits, forest, jaccard, langid, minhash, mixing, packing, secrets, suffixes, toxicity, whitening
+from . import bpe, edits, forest, jaccard, langid, lexical, minhash, mixing, packing, secrets, suffixes, toxicity, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -61,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mixing": mixing.oracle()}
+    return {"op8_mixing": mixing.oracle(), "op12_lexical_search": lexical.oracle()}
