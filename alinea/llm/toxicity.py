@@ -5,8 +5,13 @@ Words with an insult may be few in a long text, so the average is taken over win
 most toxic window. Windows cover all words of the text in order. A word that comes again counts again unless it stands among
 the few before it, where it is in the same window anyway; so a word said over and over does not fill a window. A stretch without
 blanks may be a whole text (Chinese, Thai, minified code), so a long word goes into windows as several pieces, which together
-have all of its n-grams. In training the windows of toxic rows that count are chosen anew in each round: the one that scores highest, as
-for the hardest window of a clean row.
+have all of its n-grams.
+
+In training, the windows that count are chosen anew in each round: of a toxic row the one that scores highest, of a clean row
+the hardest and one at random. A few dozen toxic rows must do, and nearly all n-grams of a text say nothing; so an n-gram moves
+as fast as the rows bear out that it goes with a label: by the bound of its log odds over rows, which is zero for what a few
+rows have by chance. The first round's windows are those in which such n-grams stand. Toxic rows come round as often as clean
+ones, up to `repeats` times, until the loss no longer falls.
 """
 
 from __future__ import annotations
@@ -38,7 +43,11 @@ class Params:
     stride: int = 20
     near: int = 10  # a word that is among so many before it does not count again; under stride, so that windows have both places
     prior: int = 100  # n-grams without meaning that each window also holds, so that short ones are not rash
-    rounds: int = 6
+    rounds: int = 24  # at most
+    settled: float = 0.1  # by less of itself in four rounds the loss no longer falls
+    repeats: int = 8
+    doubt: float = 1.64  # standard errors that log odds must be from zero
+    sure: float = 2.0  # log odds beyond that from which on an n-gram moves at full speed
     rate: float = 0.5
     most_words: int = 100_000  # words of either age that a task remembers
     seed: int = 7
@@ -97,9 +106,6 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
     if not len(y) or y.min() == y.max():
         return np.zeros(p.buckets), (20.0 if len(y) and y[0] else -20.0)
     rng = np.random.default_rng(p.seed)
-    table = rng.normal(0, 1 / p.dim, (p.buckets, p.dim))
-    out = np.zeros((p.dim, 2))
-    bias = np.zeros(2)
     seen: dict[str | bytes, int] = {}
     bags, sizes = array("i"), array("i")  # buckets of all words, one word after the other, and how many each has
     rows = []
@@ -117,34 +123,53 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     flat = np.array(bags or [0], dtype="int32")
     some = [k for k in range(len(rows)) if len(rows[k])]
+
+    def bag(words: np.ndarray) -> np.ndarray:
+        return np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in words])
+
+    bound = evidence([np.unique(bag(np.unique(rows[k]))) for k in some], y[some], p)
+    speed = np.minimum(1, np.abs(bound) / p.sure)
+    table = rng.normal(0, 1 / p.dim, (p.buckets, p.dim)) * speed[:, None]
+    out, bias = np.zeros((p.dim, 2)), np.zeros(2)
+    folded, losses = np.maximum(bound, 0), []
+    times = max(1, min(p.repeats, int((1 - y).sum() // y.sum())))
+    visits = np.concatenate([[k] * (times if y[k] else 1) for k in some]).astype(int) if some else np.array([], int)
     for epoch in range(p.rounds):
-        folded = table @ (out[:, 1] - out[:, 0])
         sums = np.add.reduceat(folded[flat], starts)
-        rate = p.rate * (1 - epoch / p.rounds)
-        for k in rng.permutation(some):
+        rate, loss, n = p.rate * (1 - epoch / p.rounds), 0.0, 0
+        for k in rng.permutation(visits):
             ids, label = rows[k], int(y[k])
-            chosen = []
-            if epoch < 2:  # whole texts first: they tell which n-grams matter
-                chosen.append(ids)
-            if epoch:
-                means = windows(sums[ids], sizes[ids], p)
-                best = int(np.argmax(means)) * p.stride
-                chosen.append(ids[best : best + p.window])
-                if not label:
-                    other = int(rng.integers(len(means))) * p.stride
-                    chosen.append(ids[other : other + p.window])
-            for words in chosen:
-                bag = np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in words])
-                hidden = table[bag].sum(0) / (len(bag) + p.prior)
+            means = windows(sums[ids], sizes[ids], p)
+            places = [int(np.argmax(means))] + ([] if label else [int(rng.integers(len(means)))])
+            for at in places:
+                words = bag(ids[at * p.stride : at * p.stride + p.window])
+                size, words = len(words) + p.prior, words[speed[words] > 0]
+                hidden = table[words].sum(0) / size
                 logits = hidden @ out + bias
                 odds = np.exp(logits - logits.max())
                 wrong = odds / odds.sum()
+                loss, n = loss - np.log(max(wrong[label], 1e-12)), n + 1
                 wrong[label] -= 1
                 step = out @ wrong
                 out -= rate * np.outer(hidden, wrong)
                 bias -= rate * 0.1 * wrong
-                np.subtract.at(table, bag, 20 * rate * step / (len(bag) + p.prior))
-    return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
+                np.subtract.at(table, words, 20 * rate * speed[words][:, None] * step / size)
+        folded = table @ (out[:, 1] - out[:, 0])
+        losses.append(loss / max(n, 1))
+        if epoch >= p.rounds // 3 and losses[-1] > (1 - p.settled) * losses[-5]:
+            break
+    return folded, float(bias[1] - bias[0])
+
+
+def evidence(bags: list[np.ndarray], y: np.ndarray, p: Params) -> np.ndarray:
+    """For each bucket the log odds of label 1 in the rows that have it, moved towards zero by p.doubt standard errors, not past it."""
+    seen = np.zeros((2, p.buckets))
+    for own, label in zip(bags, y.astype(int), strict=True):
+        seen[label, own] += 1
+    size = np.array([(1 - y).sum(), y.sum()])[:, None] + 1
+    odds = np.log((seen[1] + 0.5) / size[1]) - np.log((seen[0] + 0.5) / size[0])
+    error = np.sqrt((1 / (seen + 0.5)).sum(0))
+    return np.sign(odds) * np.maximum(0, np.abs(odds) - p.doubt * error)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, float]:
