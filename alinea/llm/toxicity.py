@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, forget, held_out, map_rows, slices, windows_of
+from .common import forget, held_out, map_rows, slices, windows_of
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,8 @@ class Params:
     doubt: float = 1.64  # standard errors that log odds must be from zero
     sure: float = 2.0  # log odds beyond that from which on an n-gram moves at full speed
     rate: float = 0.5
-    most_words: int = 100_000  # words of either age that a task remembers
+    lean: float = 0.005  # of the rate, for the constant: what has no evidence is to count for little
+    most_words: int = 500_000  # that a task remembers, and those of one slice; a word or piece has 64 bytes at most
     seed: int = 7
 
 
@@ -152,11 +153,11 @@ def fit(texts: list[str], labels: list[int], p: Params) -> tuple[np.ndarray, flo
                 wrong[label] -= 1
                 step = out @ wrong
                 out -= rate * np.outer(hidden, wrong)
-                bias -= rate * 0.1 * wrong
+                bias -= rate * p.lean * wrong
                 np.subtract.at(table, words, 20 * rate * speed[words][:, None] * step / size)
         folded = table @ (out[:, 1] - out[:, 0])
         losses.append(loss / max(n, 1))
-        if epoch >= p.rounds // 3 and losses[-1] > (1 - p.settled) * losses[-5]:
+        if epoch >= max(4, p.rounds // 3) and losses[-1] > (1 - p.settled) * losses[-5]:
             break
     return folded, float(bias[1] - bias[0])
 
@@ -189,22 +190,69 @@ def train(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, fl
     return fit([t for _, t in rows], [picked[i] for i, _ in rows], p)
 
 
-def log_odds(model: tuple[np.ndarray, float], p: Params):
-    """A function from a text to the log odds of its most toxic window."""
-    folded, start = model
-
-    def word(w: str | bytes) -> complex:
-        bag = grams(w, p)
-        return complex(float(folded[bag].sum()), len(bag))
-
-    memo = Memo(word, p.most_words)
+def crc_table() -> np.ndarray:
+    """What one byte does to a crc32."""
+    out = np.arange(256, dtype="uint32")
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
 
-    def of(text: str | None) -> float:
-        words = words_of(text, p)
-        values = np.fromiter(map(memo.__getitem__, words), complex, len(words))
-        return float(windows(values.real, values.imag, p).max() + start)
 
-    return of
+def all_grams(words: list[str | bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of each n-gram that grams() finds, for many words at once: all begin at one byte after the other."""
+    marked = [w if isinstance(w, bytes) else f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.fromiter(map(len, marked), "int64", len(marked))
+    data = np.frombuffer(b"".join(marked) + bytes(p.high), "uint8")
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # bytes from here to the word's end
+    table, crc, found = crc_table(), np.full(len(owner), 0xFFFFFFFF, "uint32"), []
+    for n in range(1, p.high + 1):
+        crc = table[(crc ^ data[n - 1 : n - 1 + len(owner)]) & 0xFF] ^ (crc >> 8)
+        if n >= p.low:
+            on = left >= n
+            found.append((owner[on] << 32) | (crc[on] ^ np.uint32(0xFFFFFFFF)))
+    short = np.flatnonzero(sizes < p.low)  # too short for any: the whole is one
+    found.append(np.array([(k << 32) | zlib.crc32(marked[k]) for k in short.tolist()], "int64"))
+    pairs = np.sort(np.concatenate(found))
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    return pairs >> 32, (pairs & 0xFFFFFFFF) % p.buckets
+
+
+class Scorer:
+    """Log odds of texts' most toxic windows. What a word adds is kept, until too many are."""
+
+    def __init__(self, model: tuple[np.ndarray, float], p: Params) -> None:
+        self.folded, self.start = model
+        self.p = p
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str | bytes, int] = {}
+        self.sums, self.counts = np.array([]), np.array([])
+
+    def many(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.place) > self.p.most_words:
+            self._forget()
+        each = [words_of(t, self.p) for t in texts]
+        new = [w for w in dict.fromkeys(w for words in each for w in words) if w not in self.place]
+        if new:
+            owner, bucket = all_grams(new, self.p)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.sums = np.concatenate([self.sums, np.bincount(owner, self.folded[bucket], len(new))])
+            self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=len(new))])
+        out = np.zeros(len(each))
+        for k, words in enumerate(each):
+            at = np.fromiter(map(self.place.__getitem__, words), "int64", len(words))
+            out[k] = windows(self.sums[at], self.counts[at], self.p).max() + self.start
+        return out
+
+    def __call__(self, text: str | None) -> float:
+        return float(self.many([text])[0])
+
+
+def log_odds(model: tuple[np.ndarray, float], p: Params) -> Scorer:
+    """A function from a text to the log odds of its most toxic window."""
+    return Scorer(model, p)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params()) -> DataFrame:
@@ -215,7 +263,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params = Params()
         of = log_odds(shared.value, p)
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
-            scores = 1 / (1 + np.exp(-np.clip(np.array([of(t) for t in batch["text"]]), -30, 30)))
+            scores = 1 / (1 + np.exp(-np.clip(of.many(batch["text"].tolist()), -30, 30)))
             return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy(dtype=object), "score": scores, "predicted": (scores >= 0.5).astype(int)})
 
         return each
@@ -242,6 +290,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
         of = log_odds(shared.value, p)
         for batch in batches:
             for some in slices(batch):
-                yield some.filter(pa.array([of(t) < 0 for t in some.column("text").to_pylist()], "bool"))
+                yield some.filter(pa.array(of.many(some.column("text").to_pylist()) < 0, "bool"))
 
     return docs.mapInArrow(kept, docs.schema)
