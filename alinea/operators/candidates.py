@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT, Config
-from alinea.functions.text import body_key, code_key, heading_key, is_label_heading, joined_heading, name_key, squeeze
+from alinea.functions.headings import is_label_heading, joined_heading
+from alinea.functions.text import body_key, code_key, heading_key, name_key, squeeze
 from alinea.operators.docmap import is_fallback
 from alinea.operators.relations import first_by
 
@@ -53,7 +54,7 @@ def attached_references(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def coded_references(df: DataFrame, key: str, text: str, cfg: Config = DEFAULT) -> DataFrame:
     """key, idx, name, code: names before "(CODE)", one for each code, in order."""
-    mark = r"[(]\s*(" + cfg.code_pattern.replace(r"\b", "").replace("(?:", "(?:") + r")\s*[)]"
+    mark = r"[(]\s*(" + cfg.code_pattern.replace(r"\b", "") + r")\s*[)]"
     rows = references(df, key, text, mark, CODED_CHARS).withColumn("_k", code_key(F.col("mark"))).filter(F.length("_k") >= CODE_CHARS)
     return first_by(rows, [key, "_k"], F.col("idx")).select(key, F.col("idx").cast("long").alias("idx"), "name", F.col("mark").alias("code"))
 

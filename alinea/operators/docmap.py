@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT, Config
-from alinea.functions.text import heading_key, is_heading, squeeze
-from alinea.operators.relations import filled_sections
+from alinea.functions.text import heading_key, squeeze
+from alinea.operators.layout import heuristic_map
 
 
 def blocks(df: DataFrame, key: str, text: str, split: str = r"\n{2,}") -> DataFrame:
@@ -21,16 +21,12 @@ def blocks(df: DataFrame, key: str, text: str, split: str = r"\n{2,}") -> DataFr
 
 def heuristic_sections(df: DataFrame, key: str, text: str, split: str = r"\n{2,}") -> DataFrame:
     """key, section, heading, number, n_paragraphs, body: paragraphs belong to the heading above, the first to Introduction."""
-    rows = filled_sections(blocks(df, key, text, split).withColumn("is_heading", is_heading(F.col("block"))), [key], "pos", "is_heading")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "block")))), lambda x: x["block"]), "\n\n")
-    out = rows.groupBy(key, "section").agg(F.max(F.when(F.col("is_heading"), F.col("block"))).alias("heading"), F.count_if(~F.col("is_heading")).alias("n_paragraphs"), body.alias("body"))
-    out = out.withColumn("number", F.nullif(F.regexp_extract(F.coalesce("heading", F.lit("")), r"^([0-9]+([.][0-9]+)*)", 1), F.lit("")))
-    named = F.when(F.col("section") == 0, "Introduction").otherwise(F.col("heading"))
-    return out.select(key, "section", named.alias("heading"), "number", "n_paragraphs", "body")
+    sections = heuristic_map(df, key, text, split)
+    return sections.select(key, "section", "heading", "number", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.array_join("paragraphs", "\n\n").alias("body"))
 
 
 def is_fallback(heading: Column, cfg: Config = DEFAULT) -> Column:
-    h = F.lower(F.trim(F.coalesce(heading, F.lit(""))))
+    h = F.trim(F.coalesce(heading, F.lit("")))
     return (h == "") | h.isin(*cfg.fallback_headings)
 
 
@@ -85,9 +81,15 @@ def overlapping_segments(found: DataFrame, segments: DataFrame, doc: str) -> Dat
 
 
 def running_headers(df: DataFrame, key: str, text: str, least: int = 4, longest: int = 60) -> DataFrame:
-    """key, line_key, n: normalised lines of at most `longest` characters that a document has `least` times or more."""
-    lines = df.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).select(key, heading_key(F.col("line")).alias("line_key"))
-    return lines.filter((F.col("line_key") != "") & (F.length("line_key") <= longest)).groupBy(key, "line_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """key, line_key, n: normalised lines of at most `longest` characters that a document has `least` times or more.
+
+    A row's lines are sorted, so that equal ones stand together: a line that is the same so many places on is one of them.
+    """
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), heading_key)
+    ordered = df.select(key, F.array_sort(F.filter(lines, lambda x: (x != "") & (F.length(x) <= longest))).alias("_lines"))
+    often = F.transform("_lines", lambda x, i: F.when((x == F.get("_lines", i + least - 1)) & ~x.eqNullSafe(F.get("_lines", i - 1)), F.struct(x.alias("line_key"), i.alias("at"))))
+    found = ordered.select(key, "_lines", F.explode(F.filter(often, lambda x: x.isNotNull())).alias("x"))
+    return found.select(key, "x.line_key", F.size(F.filter("_lines", lambda x: x == F.col("x.line_key"))).cast("long").alias("n"))
 
 
 def found_items(docs: DataFrame, items: DataFrame, key: str, text: str, part: str, most: int = 100_000, most_chars: int = 8_000_000, first: int = 32) -> DataFrame:

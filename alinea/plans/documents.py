@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT
+from alinea.functions import headings as H
 from alinea.functions import json as J
 from alinea.functions import text as X
 from alinea.functions import vectors as V
@@ -284,26 +285,26 @@ def _(t):
 
 @query("map_noise")
 def _(t):
-    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", X.is_noise_line(F.col("block")).alias("noise"))
+    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", H.is_noise_line(F.col("block")).alias("noise"))
 
 
 @query("map_layout")
 def _(t):
-    rows = docmap.blocks(doubled(t), "doc_id", "text").filter(~X.is_noise_line(F.col("block"))).withColumn("block", X.cleaned(F.col("block")))
+    rows = docmap.blocks(doubled(t), "doc_id", "text").filter(~H.is_noise_line(F.col("block"))).withColumn("block", X.cleaned(F.col("block")))
     rows = relations.labelled(rows, ["doc_id"], "pos", "block")
-    rows = relations.filled_sections(rows.withColumn("is_heading", X.is_heading(F.col("block"))), ["doc_id"], "pos", "is_heading")
+    rows = relations.filled_sections(rows.withColumn("is_heading", H.is_heading(F.col("block"))), ["doc_id"], "pos", "is_heading")
     return rows.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("is_heading"), F.col("block"))), F.lit("General Provisions")).alias("heading"), F.count_if(~F.col("is_heading")).alias("n_paragraphs"))
 
 
 @query("map_quality", "select doc_id, bool_or(source <> 'src1') as quality from documents group by doc_id")
 def _(t):
-    rows = t.documents.select("doc_id", F.when(F.col("source") == "src1", " Introduction ").otherwise(F.col("source")).alias("heading"))
+    rows = t.documents.select("doc_id", F.when(F.col("source") == "src1", " Raw Text ").otherwise(F.col("source")).alias("heading"))
     return docmap.has_quality(rows, "doc_id")
 
 
 @query("map_sanitize", "select lang, doc_id from documents where source <> 'src1'")
 def _(t):
-    rows = t.documents.select("lang", "doc_id", F.when(F.col("source") == "src1", "Introduction").otherwise(F.col("source")).alias("heading"))
+    rows = t.documents.select("lang", "doc_id", F.when(F.col("source") == "src1", "Raw Text").otherwise(F.col("source")).alias("heading"))
     return docmap.sanitized(rows, "lang").select("lang", "doc_id")
 
 
@@ -361,13 +362,13 @@ def sections_of(t: Tables) -> DataFrame:
 
 @query("cnd_noise")
 def _(t):
-    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", X.is_label_heading(F.col("block")).alias("noise"))
+    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", H.is_label_heading(F.col("block")).alias("noise"))
 
 
 @query("cnd_defrag", "select c_custkey, case c_custkey % 3 when 0 then 'LIMITS AND ' || c_mktsegment when 1 then 'LIMITS AND' else 'LIMITS FOR ' || c_mktsegment end as heading from customer")
 def _(t):
     body = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_mktsegment", F.lit(": 100 each"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("limits and "), F.lower("c_mktsegment")))
-    return t.customer.select("c_custkey", X.joined_heading(F.when(F.col("c_custkey") % 3 < 2, "LIMITS AND").otherwise(F.concat(F.lit("LIMITS FOR "), "c_mktsegment")), F.coalesce(body, F.lit("RETENTION: 1"))).alias("heading"))
+    return t.customer.select("c_custkey", H.joined_heading(F.when(F.col("c_custkey") % 3 < 2, "LIMITS AND").otherwise(F.concat(F.lit("LIMITS FOR "), "c_mktsegment")), F.coalesce(body, F.lit("RETENTION: 1"))).alias("heading"))
 
 
 SEGMENT = "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])"
