@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,32 +87,3 @@ def running_headers(df: DataFrame, key: str, text: str, least: int = 4, longest:
     often = F.transform("_lines", lambda x, i: F.when((x == F.get("_lines", i + least - 1)) & ~x.eqNullSafe(F.get("_lines", i - 1)), F.struct(x.alias("line_key"), i.alias("at"))))
     found = ordered.select(key, "_lines", F.explode(F.filter(often, lambda x: x.isNotNull())).alias("x"))
     return found.select(key, "x.line_key", F.size(F.filter("_lines", lambda x: x == F.col("x.line_key"))).cast("long").alias("n"))
-
-
-def found_items(docs: DataFrame, items: DataFrame, key: str, text: str, part: str, most: int = 100_000, most_chars: int = 8_000_000, first: int = 32) -> DataFrame:
-    """key, the columns of items without part, at: each row of items whose part a text has, and the first place (from 1) of it.
-
-    Up to `most` items and `most_chars` characters of parts are broadcast. Above, candidates are texts and items with a
-    common hash of the part's first `first` characters (of all, if it has fewer), and the whole part is looked for in these.
-    """
-    other = [c for c in items.columns if c != part]
-    rows, library = docs.select(key, text), items.filter(F.col(part).isNotNull()).select(*other, F.col(part).alias("_part"))
-    n, chars = library.agg(F.count("*"), F.coalesce(F.sum(F.length("_part")), F.lit(0))).first()
-    if n <= most and chars <= most_chars:
-        pairs = rows.join(F.broadcast(library), F.col(text).contains(F.col("_part")))
-    else:
-        library = library.withColumn("_k", F.least(F.length("_part"), F.lit(first)).cast("int"))
-        sizes = [r[0] for r in library.select("_k").distinct().collect()]  # at most first + 1 values
-        library = library.withColumn("_h", F.crc32(F.encode(F.expr("substring(_part, 1, _k)"), "utf-8")))
-
-        def starts(batches):
-            for batch in batches:
-                for i, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    if t is not None:
-                        found = sorted({(k, zlib.crc32(t[at : at + k].encode())) for k in sizes for at in (range(len(t) - k + 1) if k else [0])})
-                        yield pa.record_batch([pa.array([i.as_py()] * len(found), i.type), pa.array([k for k, _ in found], "int32"), pa.array([h for _, h in found], "int64")], [key, "_k", "_h"])
-
-        kind = dict(rows.dtypes)[key]
-        hits = rows.mapInArrow(starts, f"{key} {kind}, _k int, _h long").distinct().join(library, ["_k", "_h"]).drop("_k", "_h").withColumnRenamed(key, "_key")
-        pairs = hits.join(rows, F.col("_key").eqNullSafe(F.col(key))).filter(F.col(text).contains(F.col("_part")))
-    return pairs.select(key, *other, F.instr(F.col(text), F.col("_part")).cast("long").alias("at"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.functions.text import library_key
-from alinea.operators.docmap import found_items
+from alinea.operators.patterns import found_items
 
 BOLD = r"^[*]{2}([^*]+)[*]{2}"  # Fixed value: how a heading stands at the beginning of an evidence text
 NO_EVIDENCE = "No relevant text was found for this rule."

@@ -13,7 +13,7 @@ from alinea.functions import headings as H
 from alinea.functions import json as J
 from alinea.functions import text as X
 from alinea.functions import vectors as V
-from alinea.operators import candidates, chunk, classify, docmap, relations, rules, similarity
+from alinea.operators import candidates, chunk, classify, docmap, layout, patterns, relations, rules, similarity
 from alinea.plans.base import Tables, query
 from alinea.streaming import jobs
 
@@ -270,30 +270,66 @@ def _(t):
     return rows.select("conv_id", "turn", diff("before", "text").alias("ops")).select("conv_id", "turn", F.size("ops").alias("n_ops"), F.to_json("ops").alias("ops"))
 
 
-# Document maps and candidates
+# Document maps and candidates. Drafts and layouts are made of the sentences of all documents, with headings, noise and labels between them.
 
+SAID = rf"said as (select doc_id, i, 'in words: ' || regexp_replace(x, '\s+', ' ', 'g') as p, n from (select doc_id, unnest({SENTENCES}) as x, unnest(range(0, len({SENTENCES}))) as i, len({SENTENCES}) as n from documents))"
+DRAFT = f"""{SAID}, parts as (select doc_id, i // 2 + 1 as section, i // 6 + 1 as k, i // 2 % 3 as level, string_agg(p, chr(10) || chr(10) order by i) as body, count(*) as n_paragraphs from said group by all),
+ draft as (select doc_id, section, level + 1 as depth, case level when 0 then k || ' Scope' when 1 then k || '.1 Terms' else k || '.1.1 Details' end as heading, k || repeat('.1', level::int) as number, n_paragraphs, body from parts)"""
 
-@query("map_heuristic")
+
+def said(t: Tables) -> DataFrame:
+    """doc_id, s: the sentences of each document as paragraphs."""
+    return t.documents.select("doc_id", F.transform(X.sentences(F.col("text")), lambda x: F.concat(F.lit("in words: "), X.squeeze(x))).alias("s"))
+
+
+def drafts(t: Tables) -> DataFrame:
+    """doc_id, text: two paragraphs below each heading, headings of three levels in turn."""
+
+    def part(x, i):
+        k, level = (F.floor(i / 6) + 1).cast("string"), F.floor(i / 2) % 3
+        heading = F.when(level == 0, F.concat(k, F.lit(" Scope"))).when(level == 1, F.concat(k, F.lit(".1 Terms"))).otherwise(F.concat(k, F.lit(".1.1 Details")))
+        return F.when(i % 2 == 0, F.concat_ws("\n\n", heading, x)).otherwise(x)
+
+    return said(t).select("doc_id", F.array_join(F.transform("s", part), "\n\n").alias("text"))
+
+
+def sections_of(t: Tables) -> DataFrame:
+    return docmap.heuristic_sections(drafts(t), "doc_id", "text")
+
+
+@query("map_heuristic", f"with {DRAFT} select doc_id, section, heading, number, n_paragraphs, body from draft")
 def _(t):
-    return docmap.heuristic_sections(doubled(t), "doc_id", "text")
+    return sections_of(t)
 
 
-@query("map_clean")
+@query("map_noise", f"with {SAID} select doc_id, i as pos, i % 5 <> 1 as noise from said")
 def _(t):
-    return t.documents.select("doc_id", X.cleaned(F.col("text")).alias("text"))
+    """A page number, a sentence, a rule, a count of pages and a mark, in turn."""
+    text = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("Page "), i.cast("string"))).when(i % 5 == 1, x).when(i % 5 == 2, "-----").when(i % 5 == 3, F.concat(i.cast("string"), F.lit(" of "), (i + 9).cast("string"))).otherwise("Confidential")
+    lines = said(t).select("doc_id", F.posexplode(F.transform("s", text)).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), H.is_noise_line(F.col("line")).alias("noise"))
 
 
-@query("map_noise")
+@query("map_layout", f"""with {SAID} select doc_id, 'Document Map' as title, i // 3 + 1 as section, 'ARTICLE ' || (i // 3 + 1) as heading, (i // 3 + 1)::varchar as number, count(*) as n_paragraphs, max(i % 3) >= 1 as labelled from said group by all
+ union all select doc_id, 'Document Content', 0, 'Main Text', null, 1, false from documents where len({SENTENCES}) = 0""")
 def _(t):
-    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", H.is_noise_line(F.col("block")).alias("noise"))
+    """Layouts in JSON, with an article for three sentences, a page mark and a lone label before the second of them, twenty paragraphs a page."""
+    number = lambda i: (F.floor(i / 3) + 1).cast("string")
+    part = lambda x, i: F.when(i % 3 == 0, F.array(F.concat(F.lit("ARTICLE "), number(i)), x)).when(i % 3 == 1, F.array(F.concat(F.lit("Page "), number(i), F.lit(" of 900")), F.lit("(a)"), x)).otherwise(F.array(x))
+    rows = said(t).select("doc_id", F.flatten(F.transform("s", part)).alias("parts"))
+    ends = F.aggregate("parts", F.array(F.lit(-1)), lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + 1 + F.length(p))))
+    rows = rows.select("doc_id", "parts", ends.alias("ends"))
+    segment = lambda p, i: F.struct(F.struct(F.struct(F.array(F.struct(F.nullif(F.get("ends", i) + 1, F.lit(0)).cast("string").alias("startIndex"), F.get("ends", i + 1).cast("string").alias("endIndex"))).alias("textSegments")).alias("textAnchor")).alias("layout"))
+    rows = rows.select("doc_id", "parts", F.transform("parts", segment).alias("found"))
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.size("found") - 1, F.lit(0)), F.lit(20)), lambda a: F.struct(F.slice("found", a + 1, 20).alias("paragraphs")))
+    layouts = rows.select("doc_id", F.to_json(F.struct(F.array_join("parts", "\n").alias("text"), pages.alias("pages"))).alias("layout"))
+    sections = layout.layout_map(layouts, "doc_id", "layout")
+    return sections.select("doc_id", "title", "section", "heading", "number", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.exists("paragraphs", lambda p: p.startswith("(a) ")).alias("labelled"))
 
 
-@query("map_layout")
+@query("map_clean")
 def _(t):
-    rows = docmap.blocks(doubled(t), "doc_id", "text").filter(~H.is_noise_line(F.col("block"))).withColumn("block", X.cleaned(F.col("block")))
-    rows = relations.labelled(rows, ["doc_id"], "pos", "block")
-    rows = relations.filled_sections(rows.withColumn("is_heading", H.is_heading(F.col("block"))), ["doc_id"], "pos", "is_heading")
-    return rows.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("is_heading"), F.col("block"))), F.lit("General Provisions")).alias("heading"), F.count_if(~F.col("is_heading")).alias("n_paragraphs"))
+    return t.documents.select("doc_id", X.cleaned(F.col("text")).alias("text"))
 
 
 @query("map_quality", "select doc_id, bool_or(source <> 'src1') as quality from documents group by doc_id")
@@ -320,15 +356,18 @@ def _(t):
     return docmap.chosen_map(ai, t.documents.select("doc_id", F.lit("h").alias("heading"), F.lit("rules").alias("origin")), "doc_id").select("doc_id", "origin")
 
 
-@query("map_coords", "select doc_id, item_id, strpos(d.text, b.text[:80]) as at from documents d join benchmark b on contains(d.text, b.text[:80])")
+WHOLE_ITEMS = "select doc_id, item_id, strpos(d.text, b.text) as at from documents d join benchmark b on contains(d.text, b.text)"
+
+
+@query("map_coords", WHOLE_ITEMS)
 def _(t):
-    items = t.benchmark.select("item_id", F.substring("text", 1, 80).alias("part"))  # as the SQL; whole items are the next query's
-    return docmap.found_items(t.documents, items, "doc_id", "text", "part")
+    return patterns.found_items(t.documents, t.benchmark.select("item_id", F.col("text").alias("part")), "doc_id", "text", "part")
 
 
-@query("map_coords_whole")
+@query("map_coords_whole", WHOLE_ITEMS)
 def _(t):
-    return docmap.found_items(t.documents, t.benchmark.select("item_id", F.col("text").alias("part")), "doc_id", "text", "part")
+    """As map_coords, by the way that a larger library takes: in shares, which texts stream past."""
+    return patterns.found_items(t.documents, t.benchmark.select("item_id", F.col("text").alias("part")), "doc_id", "text", "part", most=16, spread=8)
 
 
 @query("map_offset", "select conv_id, turn, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations qualify count(*) over (partition by conv_id, turn) = 1")
@@ -339,15 +378,17 @@ def _(t):
     return out.select("conv_id", "turn", F.col("start").cast("long").alias("start"))
 
 
-@query("map_search_text")
+@query("map_search_text", f"with {DRAFT} select doc_id, string_agg(heading || chr(10) || body, chr(10) order by section)[:12000] as search_text from draft group by doc_id")
 def _(t):
-    return docmap.search_text(docmap.heuristic_sections(doubled(t), "doc_id", "text"), "doc_id")
+    return docmap.search_text(sections_of(t), "doc_id")
 
 
-@query("agg_outline")
+@query("agg_outline", f"with {DRAFT} select doc_id, count(*) filter (depth = 1) as sections, count(*) filter (depth > 1) as subsections, max(depth)::int as deepest, count(*) as named, max(case when depth = 1 then least(section + 2, last) - section end)::bigint as widest from (select *, max(section) over (partition by doc_id) as last from draft) group by doc_id")
 def _(t):
-    rows = docmap.heuristic_sections(doubled(t), "doc_id", "text")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("sections"), F.count_if(~docmap.is_fallback(F.col("heading"))).alias("named"))
+    """How many sections and subsections there are, how deep, how many have a heading of their own, and how many the widest section holds."""
+    tree = layout.outline(layout.heuristic_map(drafts(t), "doc_id", "text"), "doc_id")
+    top = F.col("depth") == 1
+    return tree.groupBy("doc_id").agg(F.count_if(top).alias("sections"), F.count_if(~top).alias("subsections"), F.max("depth").alias("deepest"), F.count_if(~docmap.is_fallback(F.col("heading"))).alias("named"), F.max(F.when(top, F.col("last") - F.col("section"))).alias("widest"))
 
 
 @query("srt_entities", "select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_totalprice, o_orderkey) as ordered from orders group by o_custkey")
@@ -356,13 +397,13 @@ def _(t):
     return rows.select("o_custkey", F.array_join(F.transform("x", lambda v: v["o_orderkey"].cast("string")), ",").alias("ordered"))
 
 
-def sections_of(t: Tables) -> DataFrame:
-    return docmap.heuristic_sections(doubled(t), "doc_id", "text")
-
-
-@query("cnd_noise")
+@query("cnd_noise", f"with {SAID} select doc_id, i as pos, i % 5 in (0, 2, 4) as noise from said")
 def _(t):
-    return docmap.blocks(doubled(t), "doc_id", "text").select("doc_id", "pos", H.is_label_heading(F.col("block")).alias("noise"))
+    """A field label, a short heading, an amount, an article and an item of a list, in turn."""
+    n = lambda i: (i % 900 + 1).cast("string")
+    text = lambda x, i: F.when(i % 5 == 0, "Client Name:").when(i % 5 == 1, F.concat(n(i), F.lit(". Definitions"))).when(i % 5 == 2, F.concat(F.lit("USD "), n(i), F.lit(",000.00"))).when(i % 5 == 3, F.concat(F.lit("ARTICLE "), n(i), F.lit(" which is kept"))).otherwise(F.concat(n(i), F.lit(") Policies which are covered")))
+    lines = said(t).select("doc_id", F.posexplode(F.transform("s", text)).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), H.is_label_heading(F.col("line")).alias("noise"))
 
 
 @query("cnd_defrag", "select c_custkey, case c_custkey % 3 when 0 then 'LIMITS AND ' || c_mktsegment when 1 then 'LIMITS AND' else 'LIMITS FOR ' || c_mktsegment end as heading from customer")
@@ -558,12 +599,16 @@ def _(t):
     return rules.attributed(evidence, parts, "doc_id").select("doc_id", "idx", "chunk_id")
 
 
-@query("jn_breadcrumb")
+@query("jn_breadcrumb", f"""with {DRAFT}, e as (select doc_id, i, case i % 5 when 0 then p[6:40] when 1 then p || ' ' || coalesce(lead(p) over (partition by doc_id order by i), '') else 'nowhere ' || i end as e from said),
+ hit as (select e.doc_id, e.i, min(q.i // 2 + 1) as section from e left join said q on q.doc_id = e.doc_id and (contains(q.p, e.e) or contains(e.e, q.p)) where e.i % 5 <= 2 group by all)
+ select hit.doc_id, i, section, heading, number from hit left join draft using (doc_id, section)""")
 def _(t):
-    s = sections_of(t)
-    evidence = s.select("doc_id", F.col("section").alias("from"), F.col("body").alias("e")).filter(F.length("e") > 12)
-    hits = evidence.join(s.select("doc_id", "section", "heading", "body"), "doc_id").filter(F.col("body").contains(F.col("e")))
-    return hits.groupBy("doc_id", "from").agg(F.min_by("heading", "section").alias("heading"))
+    """Evidence inside a paragraph, evidence that holds one, and evidence that stands nowhere."""
+    sections = layout.heuristic_map(drafts(t), "doc_id", "text")
+    text = lambda p, i: F.when(i % 5 == 0, F.substring(p, 6, 35)).when(i % 5 == 1, F.concat_ws(" ", p, F.coalesce(F.get("s", i + 1), F.lit("")))).otherwise(F.concat(F.lit("nowhere "), i.cast("string")))
+    evidence = said(t).select("doc_id", F.posexplode(F.transform("s", text)).alias("i", "e")).filter("i % 5 <= 2")
+    found = layout.breadcrumbs(evidence, sections, "doc_id", "e")
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), "section", "heading", "number")
 
 
 @query("rul_structured", f"with {ALIGN} select doc_id, count(*) as total, count(sim) as matched, round(coalesce(avg(sim), 0), 6) as average from status group by doc_id")

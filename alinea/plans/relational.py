@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alinea.functions import json as J
 from alinea.functions import text as X
-from alinea.operators.docmap import found_items
+from alinea.operators.patterns import found_items
 from alinea.operators import classify, relations
 from alinea.plans.base import query
 from alinea.sources import tables as S

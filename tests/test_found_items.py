@@ -1,16 +1,18 @@
-"""Items of a library are found in texts whatever the library's size, by broadcast and by the join on hashes alike."""
+"""Items of a library are found in texts whatever the library's size, broadcast or in shares alike."""
+
+import random
 
 import pytest
 
-from alinea.operators import docmap, rules
+from alinea.operators import patterns, rules
 
 TEXTS = [(1, "one two three, one two four"), (2, ""), (3, None), (4, "é漢😀 one two four é漢😀"), (4, "one two"), (None, "two four"), (5, "x" * 300 + "end"), (6, "aab"), (2**60 + 1, "two")]
 ITEMS = [(1, "one two four"), (1, "one two four"), (2, "one two five"), (3, "two"), (4, ""), (5, None), (6, "x" * 200 + "end"), (7, "x" * 200 + "other"), (8, "😀"), (9, "ab")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"most": 0}, {"most_chars": 1, "first": 2}])
+@pytest.mark.parametrize("limits", [{}, {"most": 0}, {"most_chars": 1, "spread": 2}, {"most": 2, "spread": 1}])
 def test_found_items(spark, limits):
-    got = docmap.found_items(spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, part string"), "doc_id", "text", "part", **limits)
+    got = patterns.found_items(spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, part string"), "doc_id", "text", "part", **limits)
     want = [(d, i, t.find(p) + 1) for d, t in TEXTS for i, p in ITEMS if t is not None and p is not None and p in t]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
 
@@ -20,3 +22,17 @@ def test_all_words_of_modules_count(spark):
     named = spark.createDataFrame([(1, "a word1499", None, None), (2, "steel", None, None), (3, "none", None, None)], "rule_id long, name string, category string, module_key string")
     got = {r.rule_id: r.module for r in rules.module_of(named, modules, "general").collect()}
     assert got == {1: "first", 2: "second", 3: "general"}
+
+
+def test_random_texts(spark):
+    """Equal to looking for each part in each text, for parts that are one another's ends, starts and middles."""
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("ab é") for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    parts = [(i, "".join(rng.choice("ab é") for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(parts, "item_id long, part string")
+    want = sorted((d, i, t.find(p) + 1) for d, t in texts for i, p in parts if p in t)
+    for bounds in ({}, {"most": 7, "spread": 3}):
+        out = patterns.found_items(docs, items, "doc_id", "text", "part", **bounds)
+        assert sorted(map(tuple, out.collect())) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert patterns.found_items(docs, items.limit(0), "doc_id", "text", "part").count() == 0
