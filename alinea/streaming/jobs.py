@@ -35,10 +35,11 @@ def in_last(events: DataFrame, key: str, time: str, seconds: int = 60) -> DataFr
     return events.withColumn("in_last", F.count("*").over(w))
 
 
-def stalls(events: DataFrame, key: str, time: str, *ties: Column, seconds: int = 180) -> DataFrame:
-    """Events of a key after which nothing comes for longer than the limit (batch)."""
+def stalls(events: DataFrame, key: str, time: str, *ties: Column, seconds: int = 180, until: Column | None = None) -> DataFrame:
+    """Events of a key after which nothing comes for longer than the limit (batch); the last one counts if `until` is that much later."""
     w = Window.partitionBy(key).orderBy(time, *ties)
-    gap = F.unix_micros(F.lead(F.col(time).cast("timestamp")).over(w)) - F.unix_micros(F.col(time).cast("timestamp"))
+    after = F.lead(F.col(time).cast("timestamp")).over(w)
+    gap = F.unix_micros(after if until is None else F.coalesce(after, until.cast("timestamp"))) - F.unix_micros(F.col(time).cast("timestamp"))
     return events.withColumn("gap_seconds", gap / 1e6).filter(F.col("gap_seconds") > seconds)
 
 
