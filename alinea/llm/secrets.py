@@ -82,17 +82,31 @@ def kind_of(token: str) -> str:
     return token if len(token) == 1 else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in token}))
 
 
+LOWER_RUN, CLASS_RUN = re.compile(r"[a-z]+"), re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
+
+
 def shape_of(token: str) -> tuple:
-    """What a token looks like, apart from its name: the same for most words."""
+    """What a token looks like, apart from its name: the same for most words.
+
+    Names and paths have long runs of small letters and few changes of kind, random signs short runs and many changes.
+    """
     n = len(token)
-    if token.isalpha():
-        digits, letters, upper, shape = 0, n, 0 if token.islower() else sum(map(str.isupper, token)), "word"
+    if token.isalpha() and token.islower():
+        digits, letters, upper, shape, run, changes = 0, n, 0, "word", n, 1
     else:
-        digits, upper, letters, shape = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.isalpha, token)), kind_of(token)
-    return min(n, 40) // 4, -(-4 * digits // n), -(-4 * upper // n), -(-4 * letters // n), shape, len(set(token)) * 4 // n, token.isascii(), (n >= 16, digits > 0, letters > 0)
+        digits, upper, letters = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.isalpha, token))
+        shape = "word" if letters == n else kind_of(token)
+        run, changes = max(map(len, LOWER_RUN.findall(token)), default=0), len(CLASS_RUN.findall(token))
+    size = min(n, 40) // 4
+    return size, -(-4 * digits // n), -(-4 * upper // n), -(-4 * letters // n), shape, len(set(token)) * 4 // n, token.isascii(), (n >= 16, digits > 0, letters > 0), min(run, 7), (8 * changes // n, n >= 16), (min(run, 7), size)
 
 
-SHAPES = ("size", "digits", "upper", "letters", "shape", "kinds", "ascii", "long")
+SHAPES = ("size", "digits", "upper", "letters", "shape", "kinds", "ascii", "long", "run", "changes", "run and size")
+
+
+def may_be_secret(token: str) -> bool:
+    """A token that nobody has marked as a secret, and nobody as none."""
+    return len(token) >= 12 and any(map(str.isdigit, token)) and any(map(str.isalpha, token))
 
 
 def own_features(token: str, p: Params) -> list[int]:
@@ -195,14 +209,18 @@ NAMES = ("credential", "bearer", "auth", "authorization", "pwd", "key", "private
 def made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
     """Tokens of a secret as it may stand in a text, and their tags."""
     signs = SIGNS[str(rng.choice(list(SIGNS)))]
-    value = "".join(rng.choice(list(signs), int(rng.integers(16, 65))))
+    short = rng.random() < 0.3  # such a one is a secret only by the name and sign before it
+    value = "".join(rng.choice(list(signs), int(rng.integers(10, 18) if short else rng.integers(16, 65))))
     while not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
         value = value[:-2] + "7f"
     value = value.strip("+/-_") or "7f" * 8
-    if rng.random() < 0.25:  # a short prefix that names the issuer
+    if not short and rng.random() < 0.2:  # in several groups, of which some are numbers
+        groups = ["".join(rng.choice(list(SIGNS["hex"][:10] if rng.random() < 0.6 else signs), int(rng.integers(6, 15)))) for _ in range(int(rng.integers(1, 3)))]
+        value = str(rng.choice(list("-_."))).join([*groups, value])
+    if not short and rng.random() < 0.35:  # a short prefix that names the issuer
         value = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 5)))) + str(rng.choice(["_", "-"])) + value
-    lead = [[], [], ["="], [":"], ["=", '"'], [":", '"'], ["=", "'"], ['"']][int(rng.integers(8))]
-    name = [str(rng.choice(NAMES))] if rng.random() < 0.5 else []
+    lead = [["="], [":"], ["=", '"'], [":", '"'], ["=", "'"], [], [], ['"']][int(rng.integers(5 if short else 8))]
+    name = [str(rng.choice(NAMES))] if short or rng.random() < 0.5 else []
     quote = [q for q in lead if q in "\"'"]
     return name + lead + [value] + quote, [OUTSIDE] * (len(name) + len(lead)) + [BEGIN] + [OUTSIDE] * len(quote)
 
@@ -212,6 +230,19 @@ def harmless(rng: np.random.Generator) -> list[str]:
     digits = lambda n: "".join(rng.choice(list("0123456789"), n))
     word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     n = int(rng.integers(6, 20))
+    signs = lambda kind, n: "".join(rng.choice(list(SIGNS[kind]), n))
+    named = lambda: "".join(word(int(rng.integers(3, 9))).title() for _ in range(int(rng.integers(1, 4))))
+    uuid = "-".join(signs("hex", k) for k in (8, 4, 4, 4, 12))
+    more = [
+        [uuid], [uuid.upper() if rng.random() < 0.5 else uuid], [word(int(rng.integers(3, 8))) + named() + digits(int(rng.integers(1, 3))) + (named() if rng.random() < 0.5 else "")], [word(int(rng.integers(3, 8))) + named() + digits(1)], [word(int(rng.integers(2, 5))) + named() + named() + digits(1) + named()],
+        [signs("letters", 2).upper() + digits(int(rng.integers(13, 22)))], [chr(65 + int(rng.integers(26))) + chr(65 + int(rng.integers(26))) + digits(2), *(digits(4) for _ in range(4))],
+        ["/".join([word(4), word(int(rng.integers(3, 9))) + digits(int(rng.integers(1, 3))) + "." + digits(2), word(5) + "-" + word(8), word(7) + "_" + digits(1) + ".so"])], [f"/{word(3)}/{word(3)}/lib{word(6)}.so.{digits(1)}.{digits(2)}"],
+        [word(5) + "/" + signs("hex", int(rng.integers(7, 13)))], [signs("base64", int(rng.integers(8, 15))).strip("+/-_") or "a1"], [signs("letters", int(rng.integers(8, 15)))], [signs("letters", int(rng.integers(8, 13)))], [word(int(rng.integers(3, 7))) + "_" + word(int(rng.integers(3, 9))) + "_v" + digits(2) + "_" + word(5)], [word(5) + digits(3) + "-" + word(6) + "-" + digits(4)],
+    ]
+    if rng.random() < 0.6:
+        found = more[int(rng.integers(len(more)))]
+        lead = [[], [], ["="], [":"], ["=", '"']][int(rng.integers(5))]
+        return ([word(int(rng.integers(2, 9)))] if lead else []) + lead + found
     found = [
         [digits(n)], [word(5) + "." + digits(2), "@", word(6) + digits(1) + ".example.com"], [f"v{digits(1)}.{digits(2)}.{digits(1)}"], [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"],
         [f"{word(4)}/{word(6)}/{word(5)}{digits(1)}.html"], [f"{word(5)}_{word(6)}_{digits(1)}"], [word(n + 6)], [word(n).upper()], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [word(n).title() + word(4).title()],
@@ -221,8 +252,15 @@ def harmless(rng: np.random.Generator) -> list[str]:
     return ([str(rng.choice(NAMES))] if lead and rng.random() < 0.5 else []) + lead + found
 
 
+UNKNOWN = -1
+
+
 def windows(texts: list[str], p: Params) -> tuple[list, np.ndarray]:
-    """Training windows: for each its tokens' features (own, before, further, after, file), and the states."""
+    """Training windows: for each its tokens' features (own, before, further, after, file), and the states.
+
+    What looks like a secret and is in no span of the patterns has the state UNKNOWN: that nobody has marked it does not say
+    that it is none.
+    """
     rng = np.random.default_rng(p.seed)
     rows, states = [], []
 
@@ -238,7 +276,8 @@ def windows(texts: list[str], p: Params) -> tuple[list, np.ndarray]:
         found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
         if len(found) < p.width:
             continue
-        tokens, tags = [t for _, _, t in found], [OUTSIDE] * len(found)
+        tokens = [t for _, _, t in found]
+        tags = [UNKNOWN if may_be_secret(t) else OUTSIDE for t in tokens]
         for a, b in spans:
             inside = [i for i, t in enumerate(found) if t[0] < b and t[1] > a]
             for i in inside:
@@ -258,11 +297,38 @@ def windows(texts: list[str], p: Params) -> tuple[list, np.ndarray]:
     return rows, np.array(states, int).reshape(-1, p.width)
 
 
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """log of the sum of exponentials; states that are not allowed have -inf."""
+    top = x.max(axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+
+
+def expected(score: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For windows' scores (window, token, state): the probability of each state at each token, and the expected number of each step."""
+    n, width, _ = score.shape
+    forward, backward = np.zeros((width, n, 3)), np.zeros((width, n, 3))
+    forward[0] = score[:, 0]
+    for t in range(1, width):
+        forward[t] = log_sum(forward[t - 1][:, :, None] + step, 1) + score[:, t]
+    for t in range(width - 2, -1, -1):
+        backward[t] = log_sum(step + (score[:, t + 1] + backward[t + 1])[:, None, :], 2)
+    total = log_sum(forward[-1], 1)
+    pairs = np.zeros((3, 3))
+    for t in range(width - 1):
+        pairs += np.exp(forward[t][:, :, None] + step + (score[:, t + 1] + backward[t + 1])[:, None, :] - total[:, None, None]).sum(0)
+    return np.exp(forward + backward - total[:, None]).transpose(1, 0, 2), pairs
+
+
 def fit(texts: list[str], p: Params) -> Field:
-    """Maximum likelihood by Adam; forward and backward sums over all windows at once. Without a secret to learn from it adds none."""
+    """Maximum likelihood by Adam; forward and backward sums over all windows at once. Without a secret to learn from it adds none.
+
+    The likelihood is that of all paths that agree with the known states: an unknown one may be any.
+    """
     field = Field(p)
     rows, states = windows(texts, p)
-    if not len(rows) or not (states != OUTSIDE).any():
+    if not len(rows) or not (states != OUTSIDE).any() or not (states == BEGIN).any():
         field.w["own"][:, OUTSIDE] = 1.0
         return field
     n, width = states.shape
@@ -270,19 +336,18 @@ def fit(texts: list[str], p: Params) -> Field:
     near = {k: np.array([[t[i] for t in r] for r in rows]) for i, k in ((1, "before"), (2, "further"), (3, "after"))}
     file = np.array([[t[4] for t in r] for r in rows])
     first, second = ({k: np.zeros_like(v) for k, v in field.w.items()} for _ in range(2))
-    truth = np.eye(3)[states]
+    allowed = np.where((states == UNKNOWN)[:, :, None], 0.0, np.where(np.eye(3)[states] > 0, 0.0, -np.inf))
+    open_ = np.flatnonzero((states == UNKNOWN).any(1))  # windows in which more than one path agrees with what is known
     for turn in range(1, p.rounds + 1):
         w = field.w
         score = w["own"][own].sum(2) + w["file"][file].sum(2) + sum(w[k][v] for k, v in near.items())
-        step = w["step"]
-        forward, backward = np.zeros((width, n, 3)), np.zeros((width, n, 3))
-        forward[0] = score[:, 0]
-        for t in range(1, width):
-            forward[t] = np.logaddexp.reduce(forward[t - 1][:, :, None] + step, axis=1) + score[:, t]
-        for t in range(width - 2, -1, -1):
-            backward[t] = np.logaddexp.reduce(step + (score[:, t + 1] + backward[t + 1])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(forward[-1], axis=1)
-        wrong = np.exp(forward + backward - total[:, None]).transpose(1, 0, 2) - truth
+        seen, pairs = expected(score, w["step"])
+        truth, true_pairs = np.eye(3)[states], sum(np.eye(3)[states[:, t]].T @ np.eye(3)[states[:, t + 1]] for t in range(width - 1))
+        if len(open_):
+            known, known_pairs = expected(score[open_] + allowed[open_], w["step"])
+            true_pairs = true_pairs + known_pairs - sum(truth[open_, t].T @ truth[open_, t + 1] for t in range(width - 1))
+            truth[open_] = known
+        wrong = seen - truth
         grads = {k: np.zeros_like(v) for k, v in w.items()}
         for k in range(own.shape[2]):
             np.add.at(grads["own"], own[:, :, k], wrong)
@@ -290,9 +355,7 @@ def fit(texts: list[str], p: Params) -> Field:
             np.add.at(grads["file"], file[:, :, k], wrong)
         for k, v in near.items():
             np.add.at(grads[k], v, wrong)
-        for t in range(width - 1):
-            both = np.exp(forward[t][:, :, None] + step + (score[:, t + 1] + backward[t + 1])[:, None, :] - total[:, None, None])
-            grads["step"] += both.sum(0) - truth[:, t].T @ truth[:, t + 1]
+        grads["step"] += pairs - true_pairs
         for k, g in grads.items():
             g = g / n + p.decay * w[k]
             first[k] += 0.1 * (g - first[k])
