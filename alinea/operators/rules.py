@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.functions.text import library_key
-from alinea.operators.patterns import found_items
+from alinea.operators.patterns import found_items, found_parts
 
 BOLD = r"^[*]{2}([^*]+)[*]{2}"  # Fixed value: how a heading stands at the beginning of an evidence text
 NO_EVIDENCE = "No relevant text was found for this rule."
@@ -45,13 +45,6 @@ def module_of(rules: DataFrame, modules: DataFrame, default: str) -> DataFrame:
     return rules.join(first, "rule_id", "left").withColumn("module", F.coalesce("module_key", "found", F.lit(default))).drop("found")
 
 
-def clause_matches(rules: DataFrame, clauses: DataFrame) -> DataFrame:
-    """rules: rule_id, words (array); clauses: clause_id, name. Pairs where a word of the rule is a word of the name."""
-    a = rules.select("rule_id", F.explode("words").alias("w")).select("rule_id", F.explode(F.split(library_key(F.col("w")), " ")).alias("word")).filter(F.length("word") > 3)
-    b = clauses.select("clause_id", F.explode(F.split(library_key(F.col("name")), " ")).alias("word"))
-    return a.join(b, "word").select("rule_id", "clause_id").distinct()
-
-
 def keyword_judge(evidence: DataFrame, keys: list[str], text: str, red: list[str], amber: list[str]) -> DataFrame:
     """Our default instead of a model: Red if a text has a red word, else Amber for an amber one, else Green; confidence is the
     share of texts that speak for the status."""
@@ -114,3 +107,46 @@ def finished(results: DataFrame, plans: DataFrame, key: str) -> DataFrame:
     """plans: key, total. Those with as many results as were planned."""
     counts = results.groupBy(key).agg(F.count("*").alias("done"))
     return plans.join(counts, key, "left").select(key, "total", F.coalesce("done", F.lit(0)).alias("done")).withColumn("complete", F.col("done") >= F.col("total"))
+
+
+PREFIX = r"^(exclusion|clause|provision|article|section):\s*"  # Fixed value: what stands before a clause's own name
+
+
+def bare_name(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(F.lower(c)), PREFIX, ""))
+
+
+def whole_word(text: Column, word: Column) -> Column:
+    """word, whatever signs it has, stands in text with no letter, digit or underscore on either side of its own."""
+    escaped = F.regexp_replace(word, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    return F.rlike(F.lower(text), F.concat(F.lit(r"\b"), escaped, F.lit(r"\b")))
+
+
+def name_matches(rules: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Pairs (rule_id, clause_id) of rules (rule_id, name, description, keywords) and clauses (clause_id, name) that speak of one thing.
+
+    A clause's bare name (lower case, without a leading "clause:", three characters or more) and the rule's name or one of its
+    keywords hold one another, or the rule's description holds the bare name, if that has over five characters. Null or empty
+    names, descriptions and keywords match nothing. Both ways go through an automaton of the distinct names: no pair is tried.
+    """
+    names = clauses.select("clause_id", bare_name(F.col("name")).alias("c")).filter(F.length("c") >= 3)
+    distinct = names.select("c").distinct()
+    keywords = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), bare_name)
+    fields = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.lower("name").alias("t"))), F.transform(keywords, lambda k: F.struct(F.lit(1).alias("kind"), k.alias("t"))), F.array(F.struct(F.lit(2).alias("kind"), F.lower("description").alias("t"))))
+    rows = rules.select("rule_id", F.explode(fields).alias("f")).select("rule_id", "f.kind", "f.t").filter(F.coalesce("t", F.lit("")) != "").distinct()
+    texts = rows.select("t").distinct()
+    held = found_parts(texts.withColumn("u", F.col("t")), distinct.withColumnRenamed("c", "part"), "t", "u").withColumnRenamed("part", "c")
+    holds = found_parts(distinct.withColumn("u", F.col("c")), rows.filter("kind < 2").select(F.col("t").alias("part")), "c", "u").withColumnRenamed("part", "t")
+    first = rows.join(held.select("t", "c"), "t").filter((F.col("kind") < 2) | (F.length("c") > 5))
+    second = rows.filter("kind < 2").join(holds.select("t", "c"), "t")
+    return first.select("rule_id", "c").unionByName(second.select("rule_id", "c")).distinct().join(names, "c").select("rule_id", "clause_id")
+
+
+def matched_rules(rules: DataFrame, clauses: DataFrame) -> DataFrame:
+    """rule_id, matched: whether any clause matches the rule by name_matches(), or one of its keywords is a whole word of its own name or description."""
+    pairs = name_matches(rules, clauses).select("rule_id").distinct().withColumn("_hit", F.lit(True))
+    keywords = F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), bare_name), lambda k: F.coalesce(k, F.lit("")) != "")
+    own = F.exists(keywords, lambda k: whole_word(F.coalesce("name", F.lit("")), k) | whole_word(F.coalesce("description", F.lit("")), k))
+    any_clause = clauses.select(bare_name(F.col("name")).alias("c")).filter(F.length("c") >= 3).limit(1).count() > 0
+    rows = rules.select("rule_id", own.alias("_own")).join(pairs, "rule_id", "left")
+    return rows.select("rule_id", (F.coalesce("_hit", F.lit(False)) | (F.col("_own") & F.lit(any_clause))).alias("matched"))

@@ -350,14 +350,35 @@ def _(t):
     return hits.groupBy("n_nationkey").agg(F.max_by("p_partkey", F.struct("n", -F.col("p_partkey"))).alias("found"))
 
 
-@query("jn_rule_clause", """with a as (select distinct p_type as rule_id, unnest(string_split(lower(p_type), ' ')) as w from part), b as (select distinct p_partkey, unnest(string_split(lower(p_type), ' ')) as w from part)
- select distinct rule_id, p_partkey as clause_id from a join b using (w) where length(w) > 3""")
+RULES = """r as (select distinct p_name as rule_id, lower(p_name) as name, case when length(p_name) % 2 = 0 then split_part(p_name, ' ', 2) else 'zz ' || split_part(p_name, ' ', 2) end as k1, split_part(p_name, ' ', 1) || ' goods' as k2, 'all the ' || lower(p_name) || ' (x)' as description from part),
+ c as (select p_partkey as clause_id, trim(lower(case p_partkey % 3 when 0 then p_name when 1 then p_name[3:8] || '.' else 'the ' || split_part(p_name, ' ', 2) || ' of ' || p_brand end)) as c from part), other as (select lower(case when p_type = 'ECONOMY' and length(p_name) = 9 then p_name else p_brand end) as c from part)"""
+MATCH = "length(c) >= 3 and (contains(name, c) or contains(c, name) or contains(k1, c) or contains(c, k1) or contains(k2, c) or contains(c, k2) or (length(c) > 5 and contains(description, c)))"
+
+
+def named_rules(t):
+    """Rules are the names of parts, with a keyword that is a word of the name or not, and another after a prefix."""
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    keywords = F.array(F.when(F.length("p_name") % 2 == 0, second).otherwise(F.concat(F.lit("zz "), second)), F.concat(F.lit("Article:  "), first, F.lit(" goods")))
+    return t.part.select(F.col("p_name").alias("rule_id"), F.col("p_name").alias("name"), keywords.alias("keywords"), F.concat(F.lit("All the "), "p_name", F.lit(" (x)")).alias("description")).distinct()
+
+
+@query("jn_rule_clause", f"with {RULES} select rule_id, clause_id from r join c on {MATCH}")
+def _(t):
+    """Clauses are parts: named as a rule, by a piece of that and a dot, or by more than it, half of them after a prefix."""
+    from alinea.operators.rules import name_matches
+
+    more = F.concat(F.lit("the "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" of "), "p_brand")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.substring("p_name", 3, 6), F.lit("."))).otherwise(more)
+    return name_matches(named_rules(t), t.part.select(F.col("p_partkey").alias("clause_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Clause: "), name)).otherwise(name).alias("name")))
+
+
+@query("jn_rule_matched", f"with {RULES} select rule_id, bool_or({MATCH}) or regexp_matches(name, '\\b' || k1 || '\\b') as matched from r, (select distinct c from other) group by rule_id, name, k1")
 def _(t):
-    """Rules are the types of parts, clauses all parts: a pair shares a word."""
-    from alinea.operators.rules import clause_matches
+    """Which rules a clause matches, or a whole word of their own: clauses have names of nine characters of one type of parts, else brands."""
+    from alinea.operators.rules import matched_rules
 
-    rules = t.part.select(F.col("p_type").alias("rule_id"), F.split("p_type", " ").alias("words")).distinct()
-    return clause_matches(rules, t.part.select(F.col("p_partkey").alias("clause_id"), F.col("p_type").alias("name")))
+    name = F.when((F.col("p_type") == "ECONOMY") & (F.length("p_name") == 9), F.col("p_name")).otherwise(F.col("p_brand"))
+    return matched_rules(named_rules(t), t.part.select(F.col("p_partkey").alias("clause_id"), name.alias("name")))
 
 
 @query("jn_interval", """with s as (select o_custkey as doc, o_orderkey as page, o_orderkey % 900 as a, o_orderkey % 900 + 60 as b from orders), f as (select c_custkey as doc, 100 as lo, 400 as hi from customer)
