@@ -19,11 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import APART
+from .bpe import APART, is_even
 from .common import kept, map_rows, written
 
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -213,15 +215,6 @@ def runs(kinds: list[Kind]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=RUNS).sort_values(["length", "first"], ignore_index=True)
 
 
-def parts_of(text: str, most: int = 1 << 16) -> list[str]:
-    """A long text in parts that are encoded alone: each but the first begins with a blank between two other signs, where a pre-token begins."""
-    out, at = [], 0
-    while len(text) - at > most and (cut := APART.search(text, at + most)):
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -231,20 +224,83 @@ def tokenizer(path: str):
     return found
 
 
-def encoded(texts: list[str], tokenizer, most: int = 1 << 18) -> list[np.ndarray]:
-    """Ids of each text; so many characters at a time, as encodings take far more memory than ids."""
-    parts = [(row, part) for row, text in enumerate(texts) for part in parts_of(text)]
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    at = 0
-    while at < len(parts):
-        to, n = at, 0
-        while to < len(parts) and (to == at or n + len(parts[to][1]) <= most):
-            n += len(parts[to][1])
-            to += 1
-        for (row, _), found in zip(parts[at:to], tokenizer.encode_batch_fast([t for _, t in parts[at:to]], add_special_tokens=False), strict=True):
-            out[row].append(np.array(found.ids, "<u4"))
-        at = to
-    return [np.concatenate(x) if x else np.array([], "<u4") for x in out]
+class Encoder:
+    """Ids of texts by a tokenizer of byte-level pre-tokens, with the ids of words already met.
+
+    Between two signs that are no white space, a blank begins a pre-token and a line end is one, so that what lies between is
+    encoded alone, however often and wherever it comes. A new word is encoded once, many in one text, a word a line, and the
+    ids are kept, until all that is kept takes `most` ids. A word's key is the word if a blank is before it, else begins with
+    a line end.
+    """
+
+    def __init__(self, path: str, most: int = 12_000_000, batch: int = 1 << 18) -> None:
+        self.tokenizer, self.most, self.batch = tokenizer(path), most, batch
+        ends = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
+        parts = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "\n", " b", "c")]
+        self.line = parts[1][0] if ends == [*parts[0], *parts[1], *parts[2], *parts[1], *parts[3]] and len(parts[1]) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}  # of a word among those that are kept
+        self.flat, self.ends = np.array([], "<u4"), np.zeros(1, "int64")
+
+    def _keep(self, keys: list[str], flat: list[np.ndarray], sizes: list[int] | np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.flat = np.concatenate([self.flat, *flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype="int64")])
+
+    def _learn(self, keys: list[str], plain: bool) -> None:
+        """plain: no word holds white space. So many characters at a time, as encodings take far more memory than ids."""
+        at = 0
+        while at < len(keys):
+            to, n = at, 0
+            while to < len(keys) and (to == at or n + len(keys[to]) <= self.batch):
+                n += len(keys[to]) + 1
+                to += 1
+            some = keys[at:to]
+            if plain and self.line is not None:
+                text = "\n ".join(some).replace("\n \n", "\n")
+                text = text[1:] if text[0] == "\n" else " " + text
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(ids == self.line)
+                self._keep(some, [ids[ids != self.line]], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            else:
+                found = [np.array(f.ids, "<u4") for f in self.tokenizer.encode_batch_fast([k[1:] if k[0] == "\n" else " " + k for k in some], add_special_tokens=False)]
+                self._keep(some, found, [len(f) for f in found])
+            at = to
+
+    def _places(self, keys: pa.Array, plain: bool) -> np.ndarray:
+        coded = keys.dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False)
+        at = np.array(list(map(self.place.get, own)), dtype=object)
+        lacking = np.flatnonzero(np.equal(at, None))
+        new = own[lacking].tolist()
+        if new and plain:  # what stands for a line end, or for an empty line, is not plain
+            self._learn([k for k in new if k in ("\n", "\n\n")], False)
+            self._learn([k for k in new if k not in ("\n", "\n\n")], True)
+        else:
+            self._learn(new, False)
+        at[lacking] = list(map(self.place.__getitem__, new))
+        return at.astype("int64")[coded.indices.to_numpy()]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.flat) > self.most or len(self.place) > self.most // 8:
+            self._forget()
+        even = [is_even(t) and "\n\n" not in t for t in texts]
+        # keys of even texts: a blank between any two, a line end and the word after it as two
+        lists = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n\n \n") for t, e in zip(texts, even, strict=True) if e], pa.large_string()), " ")
+        odd = []
+        for text in (t for t, e in zip(texts, even, strict=True) if not e):
+            first, *rest = APART.split(text)
+            odd.append(["\n" + first, *rest])
+        at = np.concatenate([self._places(pc.list_flatten(lists), True), self._places(pa.array([k for keys in odd for k in keys], pa.large_string()), False)])
+        sizes = np.concatenate([pc.list_value_length(lists).to_numpy(), np.array([len(keys) for keys in odd], "int64")]).astype("int64")
+        lengths = self.ends[at + 1] - self.ends[at]
+        stops = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.ends[at] - (stops - lengths), lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        out = np.split(flat, np.concatenate([[0], stops])[np.cumsum(sizes)][:-1]) if len(texts) else []
+        places = np.argsort(np.argsort(~np.array(even, bool), kind="stable"), kind="stable")
+        return [out[k] for k in places.tolist()]
 
 
 def pieces_of(docs: DataFrame, p: Params = Params(), path: str | None = None) -> DataFrame:
@@ -252,13 +308,13 @@ def pieces_of(docs: DataFrame, p: Params = Params(), path: str | None = None) ->
 
     def fn():
         def make():
-            return tokenizer(path or public_tokenizers.path("byte_bpe_50k.json"))
+            return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
 
-        codec, task, seen = kept(("tokenizer", path), make), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, task, seen = kept(("encoder", path), make), TaskContext.get().partitionId(), defaultdict(int)
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].astype("Int64").tolist(), encoded([t or "" for t in batch["text"]], codec), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64").tolist(), encoder.encode([t or "" for t in batch["text"]]), strict=True):
                 ids = np.append(ids, np.uint32(p.end)).astype("<u4")
                 first = len(ids) % p.size or p.size
                 start = 0
