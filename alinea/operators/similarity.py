@@ -6,8 +6,6 @@ is told to all tasks only when its size was checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +13,9 @@ from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT, Config
 from alinea.functions.text import library_key
-from alinea.functions.vectors import cosine
 from alinea.operators.blocks import Near, in_blocks
 
 CELLS = 1 << 21  # of a matrix of queries and items that is worked on at once
-BROADCAST_ROWS = 50_000  # of a library of vectors; beyond, both sides are dealt out in blocks
 
 
 class TextBlock:
@@ -109,58 +105,6 @@ def matched_texts(queries: DataFrame, library: DataFrame, query: str, item: str,
     return hits.select(F.col("q").alias(query), F.col("item").alias(item), "similarity", "rank")
 
 
-def boost_of(kind: str, s: np.ndarray, same: np.ndarray, factor: float = 1.1) -> np.ndarray:
-    """Scores for "any" pairs, those of the "same" label alone (others -9), or with those of one label "boosted", up to 1."""
-    return s if kind == "any" else np.where(same, s, -9.0) if kind == "same" else np.where(same, np.minimum(1.0, s * factor), s)
-
-
-def vector_top_k(queries: DataFrame, library: DataFrame, k: int, least: float, kind: str = "any", from_boosted: float = -9.0) -> DataFrame:
-    """queries: q, v; library: item, w (arrays of one length). q, item, similarity, rank. An item is never its own query's hit.
-
-    kind: "any"; "same" or "boosted" need a column label on both sides (boost_of); similarity is over `least` before a boost
-    and at least `from_boosted` after it.
-
-    A library of at most BROADCAST_ROWS rows is multiplied as a matrix in each task. A larger one is dealt into blocks, each of
-    which meets each block of queries once; the best k of a block are ranked again over all.
-    """
-    size = library.limit(BROADCAST_ROWS + 1).count()
-    if size <= BROADCAST_ROWS:
-        plain = kind == "any"
-        rows = library.select("item", "w", F.lit(None).alias("label") if plain else F.col("label")).collect()
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.item for r in rows], "int64"), np.array([r.w for r in rows], float), np.array([r.label for r in rows], object)))
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items, w, labels = shared.value
-            w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300) if len(items) else w
-            for batch in batches:
-                out = []
-                for at in range(0, len(batch), 1024):
-                    part = batch.iloc[at : at + 1024]
-                    v = np.array(list(part["v"]), float)
-                    s = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ w.T if len(items) else np.zeros((len(part), 0))
-                    for q, row, label in zip(part["q"], s, part["label"], strict=True):
-                        score = boost_of(kind, row, labels == label if label is not None else np.zeros(len(labels), bool))
-                        hits = np.flatnonzero((row > least) & (score > -9.0) & (score >= from_boosted) & (items != q))
-                        best = hits[np.lexsort((items[hits], -np.round(score[hits], 9)))][:k]
-                        out += [(q, int(items[j]), float(score[j])) for j in best]
-                yield pd.DataFrame(out, columns=["q", "item", "similarity"])
-
-        asked = queries.select("q", "v", F.lit(None).cast("string").alias("label") if plain else F.col("label"))
-        pairs = asked.mapInPandas(near, "q long, item long, similarity double")
-    else:
-        blocks = -(-library.count() // BROADCAST_ROWS)
-        a = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        b = library.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-        same = F.lit(False) if kind == "any" else F.coalesce(a["label"] == b["label"], F.lit(False))
-        pairs = a.join(b, "block").filter(F.col("q") != F.col("item"))
-        pairs = (pairs.filter(same) if kind == "same" else pairs).select("q", "item", same.alias("_same"), cosine(F.col("v"), F.col("w")).alias("similarity")).filter(F.col("similarity") > least)
-        if kind == "boosted":
-            pairs = pairs.withColumn("similarity", boosted(F.col("similarity"), F.col("_same"), F.lit(False)))
-        pairs = pairs.filter(F.col("similarity") >= from_boosted).drop("_same")
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "item")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def boosted(similarity: Column, same_category: Column, same_section: Column) -> Column:
     """A tenth more in the category that was hinted at, 15 % more in the same section; each at most 1."""
     s = F.when(same_category, F.least(F.lit(1.0), similarity * 1.1)).otherwise(similarity)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT
+from alinea.functions import diff as D
 from alinea.functions import headings as H
 from alinea.functions import json as J
 from alinea.functions import text as X
 from alinea.functions import vectors as V
-from alinea.operators import candidates, chunk, classify, docmap, layout, patterns, relations, rules, similarity
+from alinea.operators import candidates, chunk, classify, docmap, layout, nearest, patterns, relations, rules, similarity
 from alinea.plans.base import Tables, query
 from alinea.streaming import jobs
 
@@ -81,7 +79,7 @@ PAIRS = "select a.vec_id as q, b.vec_id as item, list_cosine_similarity(a.embedd
 def dense(t: Tables, k: int, least: float, kind: str = "any", of_items: str = "true", **more) -> DataFrame:
     queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label")
     library = t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w"), "label").filter(of_items)
-    return similarity.vector_top_k(queries, library, k, least, kind, **more)
+    return nearest.vector_top_k(queries, library, k, least, kind, **more)
 
 
 @query("jn_vector_topk", f"select q, item, round(s, 6) as similarity from ({PAIRS}) where s > 0.4 qualify row_number() over (partition by q order by round(s, 9) desc, item) <= 5")
@@ -130,10 +128,11 @@ def _(t):
 
 @query("sim_batch", f"select q, coalesce(max(s), 0) >= 0.98 as hit, count(s) filter (where s >= 0.9) as n from ({PAIRS}) group by q")
 def _(t):
-    """All hits from 0.9 on count, so there is no k: what a query gets is as large as what is counted."""
-    hits = dense(t, 1_000_000_000, -2.0, from_boosted=0.9).groupBy("q").agg(F.max("similarity").alias("s"), F.count("*").alias("n"))
+    """What every query of a batch hits from 0.9 on, counted; a query without a hit stays."""
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    hits = nearest.vector_counts(asked, t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w")), 0.9)
     queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"))
-    return queries.join(hits, "q", "left").select("q", (F.coalesce("s", F.lit(0.0)) >= 0.98).alias("hit"), F.coalesce("n", F.lit(0)).alias("n"))
+    return queries.join(hits, "q", "left").select("q", (F.coalesce("best", F.lit(0.0)) >= 0.98).alias("hit"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Chunks: the counts and sums that SQL can state
@@ -254,20 +253,14 @@ def _(t):
     return t.embeddings.select("vec_id", F.size(F.slice(v, 1, F.size("embedding"))).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("fn_text_diff")
+@query("fn_text_diff", "select conv_id, turn, md5(before) as before, md5(text) as after, before = text as same from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn, text) as before from conversations) where before is not null and text is not null")
 def _(t):
-    """Operations between neighbouring turns: equal, replace, insert and delete runs of words."""
-    @F.pandas_udf("array<struct<op:string,text:string>>")
-    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str):
-            x, y = (x or "").split(), (y or "").split()
-            return [{"op": op, "text": " ".join(y[k:m] if op != "delete" else x[i:j])} for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
+    """Edits between neighbouring turns: without the inserted text they are the turn before, without the deleted text the turn."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    rows = t.conversations.select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).filter("before is not null")
-    return rows.select("conv_id", "turn", diff("before", "text").alias("ops")).select("conv_id", "turn", F.size("ops").alias("n_ops"), F.to_json("ops").alias("ops"))
+    rows = t.conversations.select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).filter("before is not null and text is not null")
+    ops = rows.select("conv_id", "turn", D.text_edits(F.col("before"), F.col("text")).alias("ops"))
+    side = lambda other: F.md5(F.array_join(F.transform(F.filter("ops", lambda o: o["op"] != other), lambda o: o["text"]), ""))
+    return ops.select("conv_id", "turn", side("insert").alias("before"), side("delete").alias("after"), F.forall("ops", lambda o: o["op"] == "equal").alias("same"))
 
 
 # Document maps and candidates. Drafts and layouts are made of the sentences of all documents, with headings, noise and labels between them.
