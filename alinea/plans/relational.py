@@ -56,6 +56,44 @@ def _(t):
     return t.documents.select("doc_id", S.route(F.col("n_chars"), F.lit(5)).alias("route"))
 
 
+PDFS = """f as (select doc_id, text, greatest(1, ceil(length(text) / 1000.0)::bigint) as n from documents where text is not null),
+ b as (select *, octet_length(encode(text)) + 8 + n as size, case doc_id % 6 when 0 then 'base64' when 1 then 'path' when 2 then 'no pdf' when 3 then 'empty' when 4 then 'lost' else 'raw' end as way from f),
+ p as (select *, case way when 'no pdf' then 'not a PDF' when 'empty' then 'empty' when 'lost' then 'no such file' else case when size > 20000 then 'too large' end end as problem from b)"""
+
+
+def made_pdfs(t):
+    """doc_id, content: a file for each document, a thousand characters a page."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 1000)).cast("int")
+    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("text", k * 1000 + 1, F.lit(1000)))
+    return t.documents.filter("text is not null").select("doc_id", F.encode(F.concat(F.lit("%PDF-1.4\n"), F.array_join(pages, "\f")), "utf-8").alias("content"))
+
+
+def pdf_intake(t):
+    """Requests that carry a file in base64, name a stored one, are one, or are in one of three ways at fault."""
+    from alinea.sources import pdf
+
+    made = made_pdfs(t)
+    stored = made.filter("doc_id % 6 = 1").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), "content", pdf.problem_of(F.col("content"), 20_000).alias("problem"))
+    way = F.col("doc_id") % 6
+    path = F.to_json(F.struct(F.concat(F.when(way == 1, "in/").otherwise("out/"), F.col("doc_id").cast("string")).alias("storage_path")))
+    body = F.when(way == 0, F.to_json(F.struct(F.base64("content").alias("pdf_base64")))).when(way.isin(1, 4), path).when(way == 2, F.to_json(F.struct(F.base64(F.lit(b"text")).alias("pdf_base64")))).when(way == 3, "").otherwise(F.decode("content", "utf-8"))
+    return pdf.requested(made.select("doc_id", body.alias("body")), "doc_id", "body", stored, 20_000)
+
+
+@query("src_pdf_in", f"with {PDFS} select doc_id, coalesce(problem, 'ok') as problem, case when problem is null then size end as size from p")
+def _(t):
+    taken = pdf_intake(t)
+    return taken.select("doc_id", F.coalesce("problem", F.lit("ok")).alias("problem"), F.octet_length("content").cast("long").alias("size"))
+
+
+@query("src_pdf", f"with {PDFS} select doc_id, unnest(range(1, n + 1)) as page, md5(text[(unnest(range(1, n + 1)) - 1) * 1000 + 1 : unnest(range(1, n + 1)) * 1000]) as text, null::varchar as problem from p where problem is null union all select doc_id, null, null, problem from p where problem is not null")
+def _(t):
+    from alinea.sources import pdf
+
+    pages = pdf.pages(pdf_intake(t), "doc_id", pdf.plain_pages)
+    return pages.select("doc_id", F.col("page").cast("long").alias("page"), F.md5("text").alias("text"), "problem")
+
+
 @query("src_pdf_split", "select p_partkey, s::int as first_page, least(s + 5, p_size)::int as end_page from (select p_partkey, p_size, unnest(range(0, p_size, 5)) as s from part)")
 def _(t):
     return t.part.select("p_partkey", F.explode(S.page_ranges(F.col("p_size"))).alias("r")).select("p_partkey", F.col("r.first").alias("first_page"), F.col("r.end").alias("end_page"))
