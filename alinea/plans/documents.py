@@ -9,6 +9,7 @@ from alinea.config import DEFAULT
 from alinea.functions import diff as D
 from alinea.functions import headings as H
 from alinea.functions import json as J
+from alinea.functions import plugs
 from alinea.functions import text as X
 from alinea.functions import vectors as V
 from alinea.operators import candidates, chunk, classify, docmap, layout, nearest, patterns, relations, rules, similarity
@@ -263,6 +264,18 @@ def _(t):
     return ops.select("conv_id", "turn", side("insert").alias("before"), side("delete").alias("after"), F.forall("ops", lambda o: o["op"] == "equal").alias("same"))
 
 
+PIECES = "select doc_id, unnest(range(0, ceil(length(x) / 1000.0)::bigint))::int as idx, x from (select doc_id, trim(text, ' ') as x from documents where not regexp_matches(text, '\\n\\n') and trim(text, ' ') <> '')"
+
+
+@query("fn_chunks_sql", f"select doc_id, idx, md5(x[idx * 1000 + 1 : idx * 1000 + 1000]) as chunk from ({PIECES}) union all select doc_id, null, 'paragraphs' from documents where regexp_matches(text, '\\n\\n')")
+def _(t):
+    """The table function chunks in SQL, over all documents; those that have paragraphs (none in the given tables) are only named."""
+    plugs.register(t.spark)
+    t.documents.createOrReplaceTempView("alinea_documents")
+    rows = t.spark.sql(r"SELECT d.doc_id, c.idx, md5(c.chunk) AS chunk FROM alinea_documents d, LATERAL chunks(d.text, 1000) c WHERE NOT d.text LIKE concat('%', chr(10), chr(10), '%')")
+    return rows.unionByName(t.documents.filter(F.col("text").contains("\n\n")).select("doc_id", F.lit(None).cast("int").alias("idx"), F.lit("paragraphs").alias("chunk")))
+
+
 # Document maps and candidates. Drafts and layouts are made of the sentences of all documents, with headings, noise and labels between them.
 
 SAID = rf"said as (select doc_id, i, 'in words: ' || regexp_replace(x, '\s+', ' ', 'g') as p, n from (select doc_id, unnest({SENTENCES}) as x, unnest(range(0, len({SENTENCES}))) as i, len({SENTENCES}) as n from documents))"
