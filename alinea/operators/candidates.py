@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT, Config
 from alinea.functions.headings import is_label_heading, joined_heading
-from alinea.functions.text import body_key, code_key, heading_key, name_key, squeeze
+from alinea.functions.text import body_key, code_key, haystack_key, heading_key, name_key, squeeze
+from alinea.operators.classify import tiered
 from alinea.operators.docmap import is_fallback
+from alinea.operators.patterns import found_items
 from alinea.operators.relations import first_by
+from alinea.operators.similarity import matched_texts
 
 # The marks behind the name of a provision that is attached, and the lengths that names and codes may have.
 ATTACHED = r"(?i)[(]\s*(as attached|as per attached|as expiring)\s*[)]"
@@ -128,3 +131,20 @@ def attached_wordings(df: DataFrame, key: str, text: str, least: int = 80, most:
     rows = lines.groupBy(key, "block").agg(F.max(F.when(F.col("is_heading"), F.col("line"))).alias("heading"), F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line")))).alias("x"))
     rows = rows.select(key, body_key(F.col("heading")).alias("wording_key"), F.substring(F.array_join(F.transform("x", lambda v: v["line"]), "\n"), 1, most).alias("body")).filter(F.length("body") > least)
     return rows.groupBy(key, "wording_key").agg(F.max_by("body", F.length("body")).alias("body"))
+
+
+def in_tiers(rows: DataFrame, library: DataFrame, key: str, cfg: Config = DEFAULT, head: int = 200) -> DataFrame:
+    """rows (key, heading, body) with tier, item, similarity: by name before by code before by text; null without any.
+
+    library: item, name, code, text, is_global. By name: the heading's name key is an item's. By code: the longest code key of
+    five characters or more that the heading and the first `head` characters of the body have between them. By text: exact, or
+    the nearest within the library distance. key and item are unique numbers.
+    """
+    names = name_index(library, "item", "name")
+    by_name = rows.select(key, name_key(F.col("heading")).alias("name_key")).join(names, "name_key").select(key, F.col("item"), F.lit(1.0).alias("similarity"))
+    codes = code_index(library, "item", "code").select("item", "code_key", F.length("code_key").alias("_n"))
+    hay = rows.select(key, haystack_key(F.concat_ws(" ", "heading", F.substring("body", 1, head))).alias("_hay"))
+    hits = found_items(hay, codes, key, "_hay", "code_key")
+    by_code = hits.groupBy(key).agg(F.max_by("item", F.struct("_n", -F.col("item"))).alias("item")).withColumn("similarity", F.lit(1.0))
+    near = matched_texts(rows.select(key, F.col("body").alias("text")), library.select("item", "text"), key, "item", 1, cfg)
+    return tiered(rows, by_name, by_code, near.select(key, "item", "similarity"), key)

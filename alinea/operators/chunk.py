@@ -94,6 +94,14 @@ def windows(text: Column, cfg: Config = DEFAULT) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
+NOTHING_FOUND = "No relevant text was found."
+
+
+def payloads(items: Column, limit: int, per: float = 4.0, base: int = 0) -> Column:
+    """packed(), and one batch that says so where there is nothing to pack."""
+    return F.when(F.size(F.coalesce(items, F.array().cast(EMPTY))) > 0, packed(items, limit, per, base)).otherwise(F.array(F.array(F.lit(NOTHING_FOUND))))
+
+
 def packed(items: Column, limit: int, per: float = 4.0, base: int = 0) -> Column:
     """Array of strings into batches, in order: a batch is closed before the item that would exceed the limit of tokens."""
     size = lambda c: F.ceil(F.length(c) / F.lit(per)).cast("long")

@@ -150,3 +150,20 @@ def matched_rules(rules: DataFrame, clauses: DataFrame) -> DataFrame:
     any_clause = clauses.select(bare_name(F.col("name")).alias("c")).filter(F.length("c") >= 3).limit(1).count() > 0
     rows = rules.select("rule_id", own.alias("_own")).join(pairs, "rule_id", "left")
     return rows.select("rule_id", (F.coalesce("_hit", F.lit(False)) | (F.col("_own") & F.lit(any_clause))).alias("matched"))
+
+
+def chunks_of(rules: DataFrame, retrieved: DataFrame, detected: DataFrame, item: str, least: int = 20, confidence: float = 0.85) -> DataFrame:
+    """rule_id, item, text, similarity, origin: what each rule is judged by, at least a row for each rule.
+
+    retrieved: rule_id, item, similarity (similarity.retrieved). A rule that has none takes the detected clauses (clause_id,
+    name, text, confidence) that name_matches() gives it, if their text has `least` characters; their similarity is the stored
+    confidence, or ours where it is null. A rule without either has one row of nulls, of origin "none".
+    """
+    got = retrieved.select("rule_id", F.col(item).cast("long").alias("item"), F.lit(None).cast("string").alias("text"), "similarity", F.lit("retrieved").alias("origin"))
+    rest = rules.join(retrieved.select("rule_id").distinct(), "rule_id", "left_anti")
+    texts = detected.filter(F.length("text") >= least)
+    pairs = name_matches(rest, texts).join(texts.select("clause_id", "text", "confidence"), "clause_id")
+    named = pairs.select("rule_id", F.col("clause_id").cast("long").alias("item"), "text", F.coalesce("confidence", F.lit(confidence)).alias("similarity"), F.lit("detected").alias("origin"))
+    nothing = rest.join(named.select("rule_id").distinct(), "rule_id", "left_anti")
+    alone = nothing.select("rule_id", F.lit(None).cast("long").alias("item"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("similarity"), F.lit("none").alias("origin"))
+    return got.unionByName(named).unionByName(alone)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alinea.config import DEFAULT
+from alinea.functions import dates
 from alinea.functions import diff as D
 from alinea.functions import headings as H
 from alinea.functions import json as J
@@ -72,13 +73,13 @@ def _(t):
     return similarity.matched_texts(p, library, "p", "l", 2).select("p", "l", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-# Dense vectors: queries are the vectors whose id is divisible by 100, the library is every vector.
+# Dense vectors: every vector is a query and an item of the library.
 
-PAIRS = "select a.vec_id as q, b.vec_id as item, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, a.label = b.label as same from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id"
+PAIRS = "select a.vec_id as q, b.vec_id as item, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, a.label = b.label as same from embeddings a, embeddings b where a.vec_id <> b.vec_id"
 
 
 def dense(t: Tables, k: int, least: float, kind: str = "any", of_items: str = "true", **more) -> DataFrame:
-    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label")
+    queries = t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "label")
     library = t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w"), "label").filter(of_items)
     return nearest.vector_top_k(queries, library, k, least, kind, **more)
 
@@ -130,9 +131,9 @@ def _(t):
 @query("sim_batch", f"select q, coalesce(max(s), 0) >= 0.98 as hit, count(s) filter (where s >= 0.9) as n from ({PAIRS}) group by q")
 def _(t):
     """What every query of a batch hits from 0.9 on, counted; a query without a hit stays."""
-    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    asked = t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
     hits = nearest.vector_counts(asked, t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("w")), 0.9)
-    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"))
+    queries = t.embeddings.select(F.col("vec_id").alias("q"))
     return queries.join(hits, "q", "left").select("q", (F.coalesce("best", F.lit(0.0)) >= 0.98).alias("hit"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -175,16 +176,22 @@ def _(t):
     return chunk.exploded(t.documents, chunk.windows(F.col("text")), "doc_id").withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("chk_token_pack")
+PIECED = "select doc_id, unnest(range(0, greatest(1, ceil(length(text) / 1000.0)::bigint))) as k, text from documents where text is not null"
+
+
+@query("chk_token_pack", f"select doc_id, k // 2 as batch, count(*) as n, md5(string_agg(text[k * 1000 + 1 : k * 1000 + 1000], '|' order by k)) as items from ({PIECED}) where text <> '' group by all")
 def _(t):
-    turns = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("items"))
-    return turns.select("conv_id", F.size(chunk.packed(F.col("items"), 200)).alias("batches"))
+    """Pieces of a thousand characters, in batches of 500 tokens."""
+    rows = t.documents.filter("text is not null").select("doc_id", F.posexplode(chunk.packed(chunk.pieces(F.col("text"), 1000), 500)).alias("batch", "items"))
+    return rows.select("doc_id", F.col("batch").cast("long").alias("batch"), F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", "|")).alias("items"))
 
 
-@query("chk_prompt_pack")
+@query("chk_prompt_pack", f"select doc_id, k // 4 as payload, case when text = '' then 0 else count(*) end as n, md5(case when text = '' then '{chunk.NOTHING_FOUND}' else string_agg(text[k * 1000 + 1 : k * 1000 + 1000], '|' order by k) end) as items from ({PIECED}) group by doc_id, k // 4, text")
 def _(t):
-    turns = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("items"))
-    return turns.select("conv_id", F.size(chunk.packed(F.col("items"), DEFAULT.payload_tokens, base=500)).alias("payloads"))
+    """The same pieces in payloads of 20,000 tokens, of which the prompt takes 19,000; a text without any is told so."""
+    rows = t.documents.filter("text is not null").select("doc_id", F.posexplode(chunk.payloads(chunk.pieces(F.col("text"), 1000), DEFAULT.payload_tokens, base=19_000)).alias("payload", "items"))
+    n = F.when(F.get("items", F.lit(0)) == chunk.NOTHING_FOUND, 0).otherwise(F.size("items"))
+    return rows.select("doc_id", F.col("payload").cast("long").alias("payload"), n.cast("long").alias("n"), F.md5(F.array_join("items", "|")).alias("items"))
 
 
 @query("chk_para", f"select doc_id, count(*) as n from (select doc_id, unnest(regexp_split_to_array({LINES}, '\\n\\n+')) as p from documents) where length(trim(p, ' ')) > 30 group by doc_id")
@@ -254,6 +261,15 @@ def _(t):
     return t.embeddings.select("vec_id", F.size(F.slice(v, 1, F.size("embedding"))).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query("fn_dates", "select o_orderkey, case when o_orderkey % 5 <> 0 then strftime(o_orderdate, '%-d %b %Y') end as shown, case when o_orderkey % 5 <> 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') end as exchanged from orders")
+def _(t):
+    """Dates as texts, a fifth of them no dates: words, a day that no month has, nothing."""
+    wrong = F.element_at(F.array(F.lit("soon"), F.lit("1998-02-30"), F.lit(" ")), (F.col("o_orderkey") / 5).cast("int") % 3 + 1)
+    text = F.when(F.col("o_orderkey") % 5 == 0, wrong).otherwise(F.date_format("o_orderdate", " yyyy-MM-dd HH:mm:ss"))
+    ts = dates.parsed(text)
+    return t.orders.select("o_orderkey", dates.shown(ts).alias("shown"), dates.exchanged(ts).alias("exchanged"))
+
+
 @query("fn_text_diff", "select conv_id, turn, md5(before) as before, md5(text) as after, before = text as same from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn, text) as before from conversations) where before is not null and text is not null")
 def _(t):
     """Edits between neighbouring turns: without the inserted text they are the turn before, without the deleted text the turn."""
@@ -496,11 +512,15 @@ def _(t):
 # Classes, rules, evidence
 
 
-@query("cls_tiers", """select doc_id, case when doc_id % 7 = 0 then 'name-ref' when doc_id % 5 = 0 then 'code' when doc_id % 3 = 0 then 'semantic' end as tier from documents""")
+@query("cls_tiers", """select c_custkey, case c_custkey % 4 when 0 then 'name-ref' when 1 then 'code' when 2 then 'semantic' end as tier, case when c_custkey % 4 < 3 then c_nationkey::bigint end as item, case when c_custkey % 4 < 3 then 1.0::double end as similarity from customer""")
 def _(t):
-    d = t.documents.select("doc_id")
-    part = lambda n: d.filter(F.col("doc_id") % n == 0).select("doc_id", F.lit(n).alias("item"), F.lit(1.0).alias("similarity"))
-    return classify.tiered(d, part(7), part(5), part(3), "doc_id").select("doc_id", "tier")
+    """Candidates meet a library by name, by the longest code in heading or body, and by text; the first two names also hold a code."""
+    library = t.nation.select(F.col("n_nationkey").cast("long").alias("item"), F.concat("n_name", F.lit(" Clause")).alias("name"), F.concat(F.lit("LSW"), (F.col("n_nationkey") + 100).cast("string")).alias("code"), F.concat(F.lit("the "), "n_name", F.lit(" risk is told within days")).alias("text"), F.lit(True).alias("is_global"))
+    way, code = F.col("c_custkey") % 4, F.concat(F.lit("LSW "), (F.col("c_nationkey") + 100).cast("string"))
+    nation = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
+    heading = F.when(way == 0, F.concat(nation, F.lit(" Clause ("), code, F.lit(")"))).when(way == 1, F.concat(F.lit("Notice of "), code)).otherwise("Notice")
+    body = F.when(way == 2, F.concat(F.lit("The "), nation, F.lit(" risk is told within days."))).when(way == 0, F.concat(F.lit("see "), code)).otherwise("unlike all else")
+    return candidates.in_tiers(t.customer.select(F.col("c_custkey"), heading.alias("heading"), body.alias("body")), library, "c_custkey").select("c_custkey", "tier", "item", "similarity")
 
 
 MODULES = "select 'metal' as module, 0 as place, ['steel', 'copper', 'tin'] as words union all select 'light', 1, ['small', 'promo']"
@@ -537,11 +557,21 @@ def _(t):
     return t.part.select("p_partkey", F.explode(rules.search_queries(some(0, "p_name"), some(1, "p_brand"), F.col("p_type"))).alias("q"))
 
 
-@query("rul_chunks", "select p_partkey, coalesce(string_agg(l_orderkey::varchar, ',' order by l_orderkey) filter (where l_quantity > 49), 'detected') as found from part left join lineitem on l_partkey = p_partkey group by p_partkey")
-def _(t):
-    hits = t.lineitem.filter("l_quantity > 49").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list("l_orderkey")).alias("hits"))
-    rows = t.part.select("p_partkey").join(hits, "p_partkey", "left")
-    return rows.select("p_partkey", F.when(F.size(F.coalesce("hits", F.array().cast("array<bigint>"))) > 0, F.array_join(F.transform("hits", lambda x: x.cast("string")), ",")).otherwise("detected").alias("found"))
+@query("rul_chunks", f"""with h as ({PAIRS}), n as (select q % 50 as rule_id, q, item, s from h where 1 - s < 0.5 qualify row_number() over (partition by q order by round(s, 9) desc, item) <= 5),
+ o as (select rule_id, item, max(s) as s from n group by all), got as (select rule_id, item::varchar as chunk, round(s, 6) as similarity from o qualify row_number() over (partition by rule_id order by round(s, 9) desc, item) <= 10),
+ r as (select distinct vec_id % 50 as rule_id from embeddings), lost as (select rule_id from r where rule_id not in (select rule_id from got)),
+ named as (select rule_id, 'detected-' || item_id as chunk, case when item_id % 3 = 0 then 0.85::double else 0.5::double end as similarity from lost join benchmark on item_id = rule_id where length(text) >= 20 and rule_id % 2 = 0)
+ select * from got union all select * from named union all select rule_id, 'none', null from lost where rule_id not in (select rule_id from named)""")
+def _(t):
+    """Rules are groups of query vectors; a rule without hits takes the detected clauses that its name matches, or stands alone."""
+    hits = similarity.retrieved(dense(t, 5, 0.0).withColumn("rule_id", F.col("q") % 50).drop("rank"), "rule_id", "q", "item")
+    all_rules = t.embeddings.select((F.col("vec_id") % 50).alias("rule_id")).distinct()
+    name = lambda c: F.concat(F.lit("rule <"), c.cast("string"), F.lit(">"))
+    named = all_rules.select("rule_id", name(F.col("rule_id")).alias("name"), F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("keywords"))
+    detected = t.benchmark.filter("item_id % 2 = 0").select(F.col("item_id").alias("clause_id"), F.concat(F.lit("Clause: "), name(F.col("item_id"))).alias("name"), "text", F.when(F.col("item_id") % 3 > 0, 0.5).alias("confidence"))
+    found = rules.chunks_of(named, hits, detected, "item")
+    chunk_id = F.when(F.col("origin") == "retrieved", F.col("item").cast("string")).when(F.col("origin") == "detected", F.concat(F.lit("detected-"), F.col("item").cast("string"))).otherwise("none")
+    return found.select("rule_id", chunk_id.alias("chunk"), F.round("similarity", 6).alias("similarity"))
 
 
 JUDGE = "case when regexp_matches(lower(text), '\\b(stupid|moron)\\b') then 3 when regexp_matches(lower(text), '\\b(license|rights)\\b') then 2 else 1 end"

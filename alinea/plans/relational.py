@@ -110,12 +110,13 @@ def _(t):
     return S.joined_pages(t.conversations, "conv_id", "turn", "text")
 
 
-@query("src_table_filter", "select p_partkey, p_size % 6 >= 2 and p_partkey % 9 >= 2 and (p_partkey % 7)::double / (p_partkey % 9) >= 0.25 as kept from part where p_partkey % 7 <= p_partkey % 9")
+@query("src_table_filter", "select p_partkey, p_size % 6 >= 2 and p_partkey % 9 >= 2 and least(p_partkey % 7, p_partkey % 9)::double / (p_partkey % 9) >= 0.25 as kept from part")
 def _(t):
-    """Rows of p_partkey % 9 cells, of which p_partkey % 7 are filled and the others null or blank."""
-    wide, full = (F.col("p_partkey") % 9).cast("int"), (F.col("p_partkey") % 7).cast("int")
+    """Rows of p_partkey % 9 cells, of which up to p_partkey % 7 are filled and the others null or blank."""
+    wide = (F.col("p_partkey") % 9).cast("int")
+    full = F.least((F.col("p_partkey") % 7).cast("int"), wide)
     row = F.concat(F.array_repeat(F.lit("x"), full), F.array_repeat(F.when(F.col("p_partkey") % 2 == 0, "  "), wide - full))
-    return t.part.filter(full <= wide).select("p_partkey", F.coalesce(X.keeps_table(F.array_repeat(row, F.pmod("p_size", F.lit(6)))), F.lit(False)).alias("kept"))
+    return t.part.select("p_partkey", F.coalesce(X.keeps_table(F.array_repeat(row, F.pmod("p_size", F.lit(6)))), F.lit(False)).alias("kept"))
 
 
 @query("src_table_md", """select c_custkey, '| name | x y |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || case when c_nationkey % 3 = 0 then '' when c_nationkey % 3 = 1 then c_mktsegment else 'a ' || c_nationkey end || ' |' as md from customer""")
