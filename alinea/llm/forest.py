@@ -26,7 +26,7 @@ class Params:
     cosine: float = 0.98
     trees: int = 4
     leaf: int = 96  # classes of the largest label that a leaf has, about
-    spill: float = 0.02  # so far from a split, in units of the sphere's radius, a vector goes to both sides
+    spill: float = 0.16  # over the root of the dimension, as projections spread: so far from a split, in units of the sphere's radius, a vector goes to both sides
     sample: int = 8192  # bound of the vectors that the splits are fitted on
     fitted: int = 9  # levels that are fitted node by node; deeper ones split at the direction's median over the sample
     block: int = 256
@@ -44,7 +44,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, dim: int, depth: int, p: Params) -> None:
         rng = np.random.default_rng(p.seed)
-        self.depth, self.spill = depth, p.spill
+        self.depth, self.spill = depth, p.spill / math.sqrt(dim)
         self.directions = rng.normal(size=(p.trees, max(depth, 1), dim))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
         self.splits = []
