@@ -23,21 +23,22 @@ def meeting(a: Sequence, b: Sequence) -> tuple[int, int] | None:
     """A point on a shortest path through the edit graph, at about half its length; None where nothing is common."""
     n, m = len(a), len(b)
     most, skew = (n + m + 1) // 2, n - m
-    ahead, back = {1: 0}, {1: 0}
+    ahead, back = [-1] * (2 * (n + m) + 5), [-1] * (2 * (n + m) + 5)  # by diagonal; negative ones from the end
+    ahead[1] = back[1] = 0
     for d in range(most + 1):
         for reach, mine, from_end in ((ahead, back, False), (back, ahead, True)):
             for k in range(-d, d + 1, 2):
                 if k < -m or k > n:
                     continue
-                x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach.get(k - 1, -1) + 1
+                x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
                 y = x - k
                 if x < 0 or y < 0 or x > n or y > m:
                     continue
                 while x < n and y < m and (a[n - 1 - x] == b[m - 1 - y] if from_end else a[x] == b[y]):
                     x, y = x + 1, y + 1
                 reach[k] = x
-                other = mine.get(skew - k)
-                if other is not None and abs(skew - k) <= (d if from_end else d - 1) and x + other >= n:
+                other = mine[skew - k]
+                if other >= 0 and abs(skew - k) <= (d if from_end else d - 1) and x + other >= n:
                     return (n - x, m - y) if from_end else (x, y)
     return None
 
@@ -94,22 +95,18 @@ def merged(ops: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def readable(ops: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Without kept stretches that are no longer than the edits on either side: such a chance match only tears a change apart."""
     ops = merged(ops)
-    changed = True
-    while changed:
-        changed = False
+    while True:
+        out: list[tuple[str, str]] = []
         for k, (kind, text) in enumerate(ops):
-            if kind != KEPT or not 0 < k < len(ops) - 1:
-                continue
-            before = max(len(t) for _, t in ops[max(0, k - 2) : k] if _ != KEPT)
-            after = max(len(t) for _, t in ops[k + 1 : k + 3] if _ != KEPT)
-            if len(text) <= min(before, after):
-                ops = merged([*ops[:k], (DELETED, text), (INSERTED, text), *ops[k + 1 :]])
-                changed = True
-                break
-    return ops
-
-
-def edits(a: str | None, b: str | None, most: int = 2000) -> list[tuple[str, str]]:
+            sides = [[len(t) for o, t in some if o != KEPT] for some in (ops[max(0, k - 2) : k], ops[k + 1 : k + 3])]
+            torn = kind == KEPT and all(sides) and len(text) <= min(map(max, sides))
+            out += [(DELETED, text), (INSERTED, text)] if torn else [(kind, text)]
+        if len(out) == len(ops):
+            return ops
+        ops = merged(out)
+
+
+def edits(a: str | None, b: str | None, most: int = 240) -> list[tuple[str, str]]:
     """(equal, delete or insert, text) from a to b. Texts of over `most` characters in all are compared by words first."""
     a, b = a or "", b or ""
     if len(a) + len(b) <= most:
