@@ -358,7 +358,9 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def keep_first(docs: DataFrame, p: Params = Params(words=5, percent=80)) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id; all columns stay. Repeated rows are one.
 
-    Rows of one doc_id with different texts are different rows: they stay or go together, as links name the doc_id.
+    Rows of one doc_id with different texts are different rows: they stay or go together, as links name the doc_id. Rows with a
+    null doc_id link with nothing and all stay, as do single rows of null, empty or wordless texts. Of rows that repeat doc_id and
+    text one stays; where their other columns differ, any of them.
     """
     own = F.col("doc_id") == F.col("component_id")
     ids = jaccard_components(docs, p).filter("doc_id is not null").groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n"))
