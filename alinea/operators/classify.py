@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,41 @@ def tiered(candidates: DataFrame, by_name: DataFrame, by_code: DataFrame, by_mea
     for part in parts:
         out = out.join(part, key, "left")
     return out.withColumn("_hit", F.coalesce("_name-ref", "_code", "_semantic")).select(*candidates.columns, "_hit.tier", "_hit.item", "_hit.similarity")
+
+
+@dataclass(frozen=True)
+class Module:
+    """A set of rules that goes with kinds of workspaces or of contracts."""
+
+    name: str
+    workspaces: tuple[str, ...] = ()
+    contracts: tuple[str, ...] = ()
+
+
+def modules_of_kinds(workspace: Column, contract: Column, modules: list[Module], default: str) -> Column:
+    """The names of all modules that list the kind of workspace or of contract, in their order; the default where none does. Kinds are compared without case."""
+    w, c = F.lower(F.coalesce(workspace, F.lit(""))), F.lower(F.coalesce(contract, F.lit("")))
+    listed = lambda x, kinds: x.isin([k.lower() for k in kinds]) if kinds else F.lit(False)
+    names = F.array_compact(F.array(*[F.when(listed(w, m.workspaces) | listed(c, m.contracts), m.name) for m in modules]))
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(default)))
+
+
+@dataclass(frozen=True)
+class Mandatory:
+    """A provision that must be there: known by a pattern (without case), or by one of its keywords."""
+
+    name: str
+    pattern: str | None = None
+    keywords: tuple[str, ...] = ()
+
+
+def registry_names(text: Column, registry: list[Mandatory]) -> Column:
+    """The names of the registry's provisions that a text has, in order; of a null text none."""
+
+    def has(m: Mandatory) -> Column:
+        found = text.rlike("(?i)" + m.pattern) if m.pattern else F.lit(False)
+        for k in m.keywords:
+            found = found | F.lower(text).contains(k.lower())
+        return F.coalesce(found, F.lit(False))
+
+    return F.array_compact(F.array(*[F.when(has(m), m.name) for m in registry]))

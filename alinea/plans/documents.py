@@ -533,10 +533,23 @@ def _(t):
     return rules.module_of(rows, modules, "general").select("rule_id", "module")
 
 
-@query("cls_module_auto", "select c_custkey, case when c_mktsegment = 'BUILDING' or c_nationkey = 1 then 'works' else 'general' end as module from customer")
+KINDS = "(select c_custkey, c_mktsegment in ('BUILDING', 'MACHINERY') as works, c_nationkey in (1, 2) or c_mktsegment = 'MACHINERY' as far from customer)"
+
+
+@query("cls_module_auto", f"select c_custkey, case when works and far then 'works,far' when works then 'works' when far then 'far' else 'general' end as modules from {KINDS}")
+def _(t):
+    modules = [classify.Module("works", ("building", "Machinery")), classify.Module("far", ("MACHINERY",), ("nation_1", "nation_2"))]
+    found = classify.modules_of_kinds(F.col("c_mktsegment"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")), modules, "general")
+    return t.customer.select("c_custkey", F.array_join(found, ",").alias("modules"))
+
+
+REGISTRY = [classify.Mandatory("license", r"\blicen[sc]e\b", ("copyright",)), classify.Mandatory("rights", None, ("All rights", "reserved")), classify.Mandatory("numbers", "[0-9]{4}")]
+
+
+@query("cls_registry", r"""select doc_id, name from (select doc_id, unnest(['license', 'rights', 'numbers']) as name, unnest([regexp_matches(text, '(?i)\blicen[sc]e\b') or contains(lower(text), 'copyright'), contains(lower(text), 'all rights') or contains(lower(text), 'reserved'), regexp_matches(text, '[0-9]{4}')]) as found from documents) where found""")
 def _(t):
-    works = F.array_contains(F.array(F.lit("BUILDING")), F.col("c_mktsegment")) | (F.col("c_nationkey") == 1)
-    return t.customer.select("c_custkey", F.when(works, "works").otherwise("general").alias("module"))
+    """Which provisions of a registry of patterns and keywords each text has."""
+    return t.documents.select("doc_id", F.explode(classify.registry_names(F.col("text"), REGISTRY)).alias("name"))
 
 
 @query("cls_applicable", "select p_partkey as rule_id from part where p_size % 2 = 0 and p_partkey % 4 <> 0 and p_partkey % 9 <> 0 and (p_size not in (2, 4) or p_size = 2)")
