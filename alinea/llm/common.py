@@ -108,6 +108,9 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[], Callable[[pd.DataFrame
         for batch in batches:
             for some in slices(batch):
                 yield pa.RecordBatch.from_pandas(each(some.to_pandas(integer_object_nulls=True)), schema=kinds, preserve_index=False)
+        if not keeps:  # now, as the worker may get no other task and its memory still counts
+            del each
+            forget()
 
     return df.mapInArrow(run, schema)
 
@@ -151,6 +154,8 @@ def map_groups(df: DataFrame, key: str, schema: str, fn: Callable[[dict[str, lis
             rows += fn(held)
         if rows:
             yield output(rows)
+        held, rows = {}, []
+        forget()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 

@@ -434,6 +434,8 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", p: Params = Params())
                 texts = [t if t is None else masked(t, all_spans(t, field)[1], mask) for t in some.column("text").to_pylist()]
                 at = some.schema.get_field_index("text")
                 yield some.set_column(at, some.schema.field(at), pa.array(texts, some.schema.field(at).type))
+        del field
+        forget()
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -50,7 +50,7 @@ class Params:
     sure: float = 2.0  # log odds beyond that from which on an n-gram moves at full speed
     rate: float = 0.5
     lean: float = 0.005  # of the rate, for the constant: what has no evidence is to count for little
-    most_words: int = 500_000  # that a task remembers, and those of one slice; a word or piece has 64 bytes at most
+    most_words: int = 300_000  # that a task remembers, and those of one slice; a word or piece has 64 bytes at most
     seed: int = 7
 
 
@@ -235,11 +235,12 @@ class Scorer:
             self._forget()
         each = [words_of(t, self.p) for t in texts]
         new = [w for w in dict.fromkeys(w for words in each for w in words) if w not in self.place]
-        if new:
-            owner, bucket = all_grams(new, self.p)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums, np.bincount(owner, self.folded[bucket], len(new))])
-            self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=len(new))])
+        for at in range(0, len(new), 20_000):  # so many words' n-grams at once
+            some = new[at : at + 20_000]
+            owner, bucket = all_grams(some, self.p)
+            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
+            self.sums = np.concatenate([self.sums, np.bincount(owner, self.folded[bucket], len(some))])
+            self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=len(some))])
         out = np.zeros(len(each))
         for k, words in enumerate(each):
             at = np.fromiter(map(self.place.__getitem__, words), "int64", len(words))
@@ -291,5 +292,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
         for batch in batches:
             for some in slices(batch):
                 yield some.filter(pa.array(of.many(some.column("text").to_pylist()) < 0, "bool"))
+        del of
+        forget()
 
     return docs.mapInArrow(kept, docs.schema)
