@@ -1,7 +1,10 @@
 """Folds and keys against plain Python on small inputs."""
 
+import os
 import random
+import re
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +88,36 @@ def test_near_duplicates(spark):
     assert [r.o for r in kept.orderBy("o").collect()] == [1, 3]
 
 
+def test_near_duplicates_of_many_names_in_few_calls(spark, monkeypatch):
+    """Against the fold by the book; all names of a task in one call, not a call for each."""
+    rng, signs = random.Random(5), "abc "
+    whole = ["".join(rng.choice(signs) for _ in range(200)) for _ in range(4)]
+
+    def part():
+        w = rng.choice(whole)
+        return w[: rng.randint(0, 200)] if rng.random() < 0.5 else w[rng.randint(0, 90) :] + rng.choice(["", "x" * rng.randint(1, 30)])
+
+    rows = [(d, rng.choice([None, "k", "l"]), o, rng.choice([None, part().upper(), part()])) for d in range(300) for o in range(6)]
+
+    def by_the_book(some):
+        bodies = [re.sub("[^a-z0-9]", "", (b or "").lower()) for *_, b in some]
+        kept = []
+        for i in sorted(range(len(some)), key=lambda k: (-len(bodies[k]), some[k][2])):
+            own = bodies[i]
+            near = any(own in bodies[k] or len(os.path.commonprefix([own, bodies[k]])) >= max(1, 0.92 * len(own)) for k in kept)
+            if not kept or (len(own) >= 60 and not near):
+                kept.append(i)
+        return [some[k][:3] for k in kept]
+
+    monkeypatch.setattr(pyspark.sql.GroupedData, "applyInPandas", None)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r)
+    want = {r for some in groups.values() for r in by_the_book(some)}
+    got = candidates.without_near_duplicates(spark.createDataFrame(rows, "d long, k string, o long, b string"), "d", "k", "o", "b").collect()
+    assert {(r.d, r.k, r.o) for r in got} == want and len(got) == len(want) < len(rows)
+
+
 def test_page_quality(spark):
     good = "This page has a clean text layer with enough words to pass the test of length."
     assert column(spark, [good, "tiny", good + " andWales theReinsurer ofClaims forCover", None], X.is_dirty_page) == [False, True, True, True]
