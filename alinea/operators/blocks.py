@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 Near = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def in_blocks(queries: DataFrame, library: DataFrame, prepare: Callable[[pd.DataFrame], Near], schema: str, block: int, parts: int | None = None) -> DataFrame:
+def in_blocks(queries: DataFrame, library: DataFrame, prepare: Callable[[pd.DataFrame], Near], schema: str, block: int, parts: int | None = None, apart: bool = False) -> DataFrame:
     """queries and library: the same columns, an id first. prepare(items of a block) returns what maps frames of queries to rows.
 
     The library is dealt into blocks of about `block` rows by its ids, the queries into parts. A task holds one block and streams
     the queries of a part past it, so its memory does not grow with either side, and no word or item makes a hot key. What is
-    shuffled: each query once for each block, each item once for each part.
+    shuffled: each query once for each block, each item once for each part. apart: no pairs of block and part are put together into
+    larger tasks because their rows are few.
     """
     blocks = max(1, -(-library.count() // block))
     parts = parts or 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -39,4 +40,5 @@ def in_blocks(queries: DataFrame, library: DataFrame, prepare: Callable[[pd.Data
                     near = near or prepare(pd.concat(held) if held else here)
                     yield near(asking)
 
-    return rows.repartition("_block", "_part").sortWithinPartitions("_block", "_part", "_asks").mapInPandas(run, schema)
+    dealt_rows = rows.repartition(blocks * parts, "_block", "_part") if apart else rows.repartition("_block", "_part")
+    return dealt_rows.sortWithinPartitions("_block", "_part", "_asks").mapInPandas(run, schema)

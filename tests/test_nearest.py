@@ -58,3 +58,22 @@ def test_vector_counts(spark, most_bytes):
         want[q] = n + 1, round(max(best, s), 6)
     assert got == want and want
     assert nearest.vector_counts(a.limit(0), b, 0.9).count() == nearest.vector_counts(a, b.limit(0), 0.9).count() == 0
+
+
+@pytest.mark.parametrize("kind,least,from_boosted", [("any", -2.0, -8.0), ("same", 0.2, -8.0), ("boosted", 0.3, 0.7)])
+@pytest.mark.parametrize("dense", [1, 10**9], ids=["pairs", "whole"])
+def test_few_queries_are_told_and_products_are_exact(spark, monkeypatch, kind, least, from_boosted, dense):
+    rng = np.random.default_rng(7)
+    queries, items = rows_of(rng, 20, 0), rows_of(rng, 300, 10)
+    monkeypatch.setattr(nearest, "DENSE", dense)
+    a = spark.createDataFrame(queries, ROW).selectExpr("id q", "vec v", "label")
+    b = spark.createDataFrame(items, ROW).selectExpr("id item", "vec w", "label")
+    got = nearest.vector_top_k(a, b, 4, least, kind, from_boosted).collect()
+    assert sorted((r.q, r.item, r["rank"]) for r in got) == [w[:3] for w in plain(queries, items, 4, least, kind, from_boosted)]
+
+
+@pytest.mark.parametrize("most_bytes", [nearest.HELD_BYTES, 100], ids=["told", "blocks"])
+def test_a_library_in_one_file_meets_its_queries_in_many_tasks(spark, most_bytes):
+    rows = spark.createDataFrame(rows_of(np.random.default_rng(3), 400, 0), ROW).coalesce(1)
+    found = nearest.met(nearest.side(rows, "id", "vec", "any"), nearest.side(rows, "id", "vec", "any"), nearest.Score("any", -2.0, -8.0), "q long, item long, similarity double", lambda ids: nearest.Best(ids, 3), most_bytes, 400)
+    assert found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).filter(lambda n: n > 0).count() > 4
