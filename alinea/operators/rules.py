@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alinea.functions.text import library_key
 from alinea.operators.patterns import found_items, found_parts
+from alinea.operators.relations import once
 
 BOLD = r"^[*]{2}([^*]+)[*]{2}"  # Fixed value: how a heading stands at the beginning of an evidence text
 NO_EVIDENCE = "No relevant text was found for this rule."
@@ -159,6 +160,7 @@ def chunks_of(rules: DataFrame, retrieved: DataFrame, detected: DataFrame, item:
     name, text, confidence) that name_matches() gives it, if their text has `least` characters; their similarity is the stored
     confidence, or ours where it is null. A rule without either has one row of nulls, of origin "none".
     """
+    retrieved = once(retrieved)  # it is read by each job of name_matches() and several times by the result
     got = retrieved.select("rule_id", F.col(item).cast("long").alias("item"), F.lit(None).cast("string").alias("text"), "similarity", F.lit("retrieved").alias("origin"))
     rest = rules.join(retrieved.select("rule_id").distinct(), "rule_id", "left_anti")
     texts = detected.filter(F.length("text") >= least)

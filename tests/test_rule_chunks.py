@@ -13,6 +13,21 @@ def test_chunks_of_rules(spark):
     assert [tuple(r) for r in rules.chunks_of(named, hits, detected, "chunk").filter("origin = 'none'").collect()] == [(3, None, None, None, "none")]
 
 
+def test_retrieved_is_worked_out_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            runs.add(len(f))
+            yield f
+
+    named = spark.createDataFrame([(1, "war", None, []), (2, "flood risk", None, [])], "rule_id long, name string, description string, keywords array<string>")
+    hits = spark.createDataFrame([(1, 7, 0.9)], "rule_id long, chunk long, similarity double").mapInPandas(counted, "rule_id long, chunk long, similarity double")
+    detected = spark.createDataFrame([(10, "Clause: flood risk", "x" * 30, None)], "clause_id long, name string, text string, confidence double")
+    assert len(rules.chunks_of(named, hits, detected, "chunk").collect()) == 2
+    assert runs.value == 1
+
+
 def test_tiers(spark):
     library = spark.createDataFrame([(1, "Interest Clause", "LSW300", "interest is due", True), (2, "Notice", "LSW 3001", "notice is given in days", False), (3, None, None, None, False)], "item long, name string, code string, text string, is_global boolean")
     rows = [(1, "INTEREST (LSW 3001)", "x"), (2, "Other", "see lsw-3001 here"), (3, "Other", "a" * 250 + "LSW300"), (4, "Other", "Interest is due."), (5, None, None), (6, "LSW 300", "notice is given in days")]
