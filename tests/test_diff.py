@@ -1,6 +1,7 @@
 """Edits between texts: shortest, complete, readable."""
 
 import random
+import time
 
 import pytest
 
@@ -50,3 +51,24 @@ def test_long_texts():
     ops = diff.edits(a, b)
     assert applied(ops) == (a, b) and sum(len(t) for k, t in ops if k == diff.KEPT) > 0.98 * len(a)
     assert applied(diff.edits(a, "x" * 5000)) == (a, "x" * 5000)
+
+
+@pytest.mark.parametrize("cells,near", [(1 << 24, 256), (30, 256), (30, 0), (1, 3)])
+def test_every_way_gives_shortest_scripts(monkeypatch, cells, near):
+    monkeypatch.setattr(diff, "CELLS", cells)
+    monkeypatch.setattr(diff, "NEAR", near)
+    rng = random.Random(cells + near)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        ops = [(k, "".join(t)) for k, t in diff.script(a, b)]
+        assert applied(ops) == (a, b)
+        assert sum(len(t) for k, t in ops if k != diff.KEPT) == len(a) + len(b) - 2 * longest_common(a, b)
+
+
+def test_unlike_texts_are_compared_in_a_few_milliseconds():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)) for _ in range(41)]
+    start = time.process_time()
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert applied(diff.edits(a, b)) == (a, b)
+    assert time.process_time() - start < 1  # 40 pairs
