@@ -16,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+GROUP_CHARS = 64_000_000  # of the texts that one group gets where a library is dealt out
+
+
 def automaton(patterns: list[str]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for p in patterns:
@@ -38,7 +41,8 @@ def first_places(machine: ahocorasick.Automaton, empty: bool, text: str) -> dict
 def found_parts(docs: DataFrame, library: DataFrame, key: str, text: str, most: int = 100_000, most_chars: int = 8_000_000, spread: int = 64) -> DataFrame:
     """key, part, at: for each row of docs the distinct parts (library.part) that its text has, and the first place of each.
 
-    Null texts and null parts match nothing. Up to `most` parts of `most_chars` characters are broadcast.
+    Null texts and null parts match nothing. Up to `most` parts of `most_chars` characters are broadcast. Texts go to `spread` buckets
+    where a library is dealt out, or to as many as GROUP_CHARS asks for, so that no group grows with them.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     parts = library.select("part").filter(F.col("part").isNotNull()).distinct()
@@ -72,11 +76,14 @@ def found_parts(docs: DataFrame, library: DataFrame, key: str, text: str, most:
 
     shares = max(-(-n // max(most, 1)), -(-chars // max(most_chars, 1)), 1)
     shares = min(shares, n)
+    buckets = -(-rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // GROUP_CHARS)
+    spread = max(spread, buckets)
+    tasks = [shares * buckets] if shares * buckets > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(spread))
     left = parts.select(F.pmod(F.xxhash64("part"), F.lit(shares)).alias("share"), "part").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     right = rows.withColumn("bucket", bucket("key", "text")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     both = left.withColumn("is_text", F.lit(False)).unionByName(right.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
-    both = both.select((F.col("share") * spread + F.col("bucket")).alias("group"), "is_text", "part", "key", "text").repartition("group").sortWithinPartitions("group", "is_text")
+    both = both.select((F.col("share") * spread + F.col("bucket")).alias("group"), "is_text", "part", "key", "text").repartition(*tasks, "group").sortWithinPartitions("group", "is_text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, patterns, machine = None, [], None
