@@ -1,9 +1,10 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
-Inside one pre-token, a token boundary that BPE never merges across splits the work: both sides are encoded on their own.
-After reading the bytes v since the last settled boundary, whatever follows leaves a boundary at some j for which v[j:] can
-still begin a token; the tokens before it are those of v[:j]. The transducer's state is v; the tokens that all such j agree
-on are settled and are emitted, and v loses them. Lookahead is thus bounded by the longest token.
+The state is the bytes since the end of the last token, as far as they begin a token. When no token goes on with the next
+byte, the longest that has been passed is put out if it fits behind the token before it, which alone decides whether BPE
+leaves a boundary there; else a shorter one. If none fits, no boundary lies at that place: the token before it is taken back
+and a shorter one tried. A place is given up once at most, so the work is linear; places have one last token each, so what
+is put out up to the end is the BPE of the whole.
 States and transitions are made when first met, and dropped when there are too many.
 """
 
@@ -12,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from itertools import islice
+import struct
+import string
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,82 +34,104 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """BPE as defined: merge the adjacent pair of lowest rank, leftmost first, until none is in the vocabulary."""
+def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 40) -> list[bytes]:
+    """BPE as defined: merge the adjacent pair of lowest rank, leftmost first, until none (of a rank `below`) is in the vocabulary."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-        if rank == 1 << 40:
+        if rank >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
-class Transducer:
-    """step[state << 8 | byte] = (state, ids settled by that byte); at the end of a pre-token, ways[state][-1] is left."""
+class State(dict):
+    """The states after one byte more, None if no token goes on so; they are made when first asked for."""
+
+    __slots__ = ("of", "bytes", "best")
+
+    def __init__(self, of: Transducer, own: bytes, best: int) -> None:
+        self.of, self.bytes, self.best = of, own, best  # best: the longest token that has been passed, -1 if none
 
+    def __missing__(self, byte: int) -> State | None:
+        v = self.bytes + bytes((byte,))
+        self[byte] = to = State(self.of, v, self.of.ranks.get(v, self.best)) if v in self.of.starts else None
+        self.of.states += to is not None
+        return to
+
+
+class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000) -> None:
         self.ranks, self.most_states = ranks, most_states
-        self.longest = max(map(len, ranks), default=1)
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.fits = Memo(lambda pair: merged(pair[0] + pair[1], ranks) == [*pair], 200_000)
+        self.longest = max(self.size.values(), default=1)
+        self.splits = Memo(self._split, 1 << 40)
+        self.shorter = Memo(lambda token: self._longest(self.bytes_of[token][:-1]), 1 << 40)
+        self.fits = Memo(self._fit, 200_000)
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.ways: list[list[tuple[bytes, ...]]] = []  # of a state v: the tokens of v[:j] for each j
-        self.open: list[list[int]] = []  # the j at which v[j:] can begin a token
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state(b"", [()], [0])
-
-    def _state(self, v: bytes, ways: list, open_at: list) -> int:
-        if v not in self.numbers:
-            self.numbers[v] = len(self.ways)
-            self.ways.append(ways)
-            self.open.append(open_at)
-        return self.numbers[v]
-
-    def _tokens(self, v: bytes, ways: list[tuple[bytes, ...]]) -> tuple[bytes, ...]:
-        """BPE of v from that of its prefixes: its last token is the suffix that fits the token before it."""
-        n = len(v)
-        for k in range(min(n, self.longest), 0, -1):
-            token = v[n - k :]
-            if token in self.ranks and (k == n or self.fits[ways[n - k][-1], token]):
-                return (*ways[n - k], token)
-        raise ValueError(f"the vocabulary lacks a byte of {v!r}")
-
-    def _make(self, state: int, byte: int, v: bytes) -> tuple[int, tuple[int, ...]]:
-        v += bytes((byte,))
-        ways = [*self.ways[state], self._tokens(v, self.ways[state])]
-        open_at = [j for j in self.open[state] if v[j:] in self.starts] + [len(v)]
-        same = 0
-        if open_at[0]:
-            first = ways[open_at[0]]
-            while all(len(ways[j]) > same and ways[j][same] == first[same] for j in open_at):
-                same += 1
-        if not same:
-            return self._state(v, ways, open_at), ()
-        gone = sum(map(len, first[:same]))
-        rest = v[gone:]
-        if rest not in self.numbers:
-            own = [()]
-            for n in range(1, len(rest) + 1):
-                own.append(self._tokens(rest[:n], own))
-            self._state(rest, own, [j - gone for j in open_at])
-        return self.numbers[rest], tuple(self.ranks[t] for t in first[:same])
+        self.states, self.first = 0, State(self, b"", -1)
+
+    def _longest(self, v: bytes) -> int:
+        """The longest token that v begins with; -1 if there is none."""
+        return next((self.ranks[v[:k]] for k in range(len(v), 0, -1) if v[:k] in self.ranks), -1)
+
+    def _split(self, token: int) -> tuple[int, ...] | None:
+        """The two tokens whose merge makes this one; () for a byte, None if no merges of rising ranks lead to it."""
+        whole = self.bytes_of[token]
+        if len(whole) == 1:
+            return ()
+        parts = tuple(self.ranks[t] for t in merged(whole, self.ranks, token))
+        return parts if len(parts) == 2 and all(self.size[t] == 1 or t < token and self.splits[t] for t in parts) else None
+
+    def _fit(self, pair: int) -> bool:
+        """Whether the BPE of both tokens' bytes is these two: their merges are undone, the last one first, and none before it may join the sides."""
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        of, ranks, splits, limit = self.bytes_of, self.ranks, self.splits, 1 << 40
+        if splits[a] is None or splits[b] is None:
+            return merged(of[a] + of[b], ranks) == [of[a], of[b]]
+        while ranks.get(of[a] + of[b], limit) >= limit:
+            left, right = splits[a], splits[b]
+            if left and (a > b or not right):
+                limit, a = a, left[1]  # at equal ranks the merge further left comes first
+            elif right:
+                limit, b = b + 1, right[0]
+            else:
+                return True
+        return False
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.ways) > self.most_states:
+        if self.states > self.most_states:
             self._forget()
-        state, out, step = 0, [], self.step
-        for at, byte in enumerate(piece):
-            to = step.get(state << 8 | byte)
-            if to is None:
-                to = step[state << 8 | byte] = self._make(state, byte, piece[at - len(self.ways[state]) + 1 : at])
-            state = to[0]
-            if to[1]:
-                out += to[1]
-        return out + [self.ranks[t] for t in self.ways[state][-1]]
+        first, size, fits, longest = self.first, self.size, self.fits, self.longest
+        out: list[int] = []
+        given_up: set[int] = set()
+        at, n, before = 0, len(piece), -1
+        while at < n:
+            state = first
+            for byte in piece[at : at + longest]:
+                to = state[byte]
+                if to is None:
+                    break
+                state = to
+            token = state.best
+            while token < 0 or before >= 0 and not fits[before << 32 | token] or given_up and at + size[token] in given_up:
+                if token >= 0:
+                    token = self.shorter[token]
+                elif out:
+                    given_up.add(at)
+                    token = out.pop()
+                    at -= size[token]
+                    before = out[-1] if out else -1
+                else:
+                    raise ValueError(f"the vocabulary lacks a byte of {piece!r}")
+            out.append(token)
+            at += size[token]
+            before = token
+        return out
 
 
 class Utf8Stream:
@@ -148,23 +173,62 @@ def is_even(text: str) -> bool:
     return not (text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACE))
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Signs of ASCII that are no letters, numbers or white space.
+SIGNS = string.punctuation
+
+
 class Codec:
     """Encoding and decoding of whole texts with one vocabulary and pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, most_pieces: int = 200_000) -> None:
+    def __init__(self, path: str, pattern: str, most_pieces: int = 20_000, most_words: int = 150_000, longest: int = 64) -> None:
+        """Kept are at most twice most_pieces pre-tokens and twice most_words words (four times, of counts), none of over `longest` characters."""
         ranks = load_ranks(path)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.by_space = pattern in EQUAL_PATTERN
         self.pattern = regex.compile(EQUAL_PATTERN.get(pattern, pattern))
-        transducer = Transducer(ranks)
-        self.pieces = Memo(lambda p: np.array(transducer.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), most_pieces)
-        self.words = Memo(lambda w: self._pieces(" " + w), most_pieces)
+        self.transducer = Transducer(ranks)
+        same: dict[tuple, tuple] = {}  # counts of short words are few, so their number is bounded: equal ones are one object
+        self.pieces = Memo(lambda p: packed(self._ids(p)), most_pieces, longest)
+        self.words = Memo(self._word, most_words, longest)
+        self.word_counts = Memo(lambda w: same.setdefault(c := self._word_counts(w), c), 2 * most_words, longest)
+
+    def _ids(self, piece: str) -> list[int]:
+        return self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def _counts(self, text: str) -> tuple[tuple[int, int], ...]:
+        return tuple((len(m), len(self.pieces[m]) // 4) for m in self.pattern.findall(text))
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a blank and the word. Letters, or letters and other signs of ASCII behind them, are pre-tokens by EQUAL_PATTERN."""
+        letters = word.rstrip(SIGNS)
+        if not letters.isalpha():
+            return self._pieces(" " + word)
+        ids = packed(self._ids(" " + letters))
+        return ids if letters == word else ids + self.pieces[word[len(letters) :]]
+
+    def _word_counts(self, word: str) -> tuple[tuple[int, int], ...]:
+        letters = word.rstrip(SIGNS)
+        if not letters.isalpha():
+            return self._counts(" " + word)
+        own = len(letters) + 1, len(self._ids(" " + letters))
+        return (own,) if letters == word else (own, (len(word) - len(letters), len(self.pieces[word[len(letters) :]]) // 4))
+
+    def counts(self, text: str) -> list[tuple[int, int]]:
+        """Characters and tokens of each pre-token."""
+        if not self.by_space:
+            return list(self._counts(text))
+        first, *words = text.split(" ") if is_even(text) else APART.split(text)
+        return list(chain(self._counts(first), chain.from_iterable(map(self.word_counts.__getitem__, words))))
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if self.by_space:

@@ -36,12 +36,11 @@ class CountTree:
         self._fill(self._matched())
 
     def _matched(self):
-        found = self.codec.pattern.findall(self.text)
-        self.encoded += len(found)
-        return zip(map(len, found), [len(ids) // 4 for ids in map(self.codec.pieces.__getitem__, found)])
+        pairs = self.codec.counts(self.text)
+        self.encoded += len(pairs)
+        return pairs
 
-    def _fill(self, pairs) -> None:
-        pairs = list(pairs)
+    def _fill(self, pairs: list[tuple[int, int]]) -> None:
         self.leaves = [pairs[i : i + self.leaf] for i in range(0, len(pairs), self.leaf)] or [[]]
         self._build()
 
@@ -127,7 +126,7 @@ class CountTree:
             for k in touched[1:]:
                 self.leaves[k] = []
         if len(self.leaves[first[0]]) > 4 * self.leaf:  # a leaf that grew is cut up
-            self._fill(pair for leaf in self.leaves for pair in leaf)
+            self._fill([pair for leaf in self.leaves for pair in leaf])
         else:
             for k in touched:
                 self._update(k)

@@ -50,6 +50,25 @@ def test_bpe_forgets_states_and_stays_exact(reference):
         assert small.encode(w.encode()) == reference.encode_ordinary(w)
 
 
+def test_fits_is_what_merging_gives(reference):
+    ranks = bpe.load_ranks(VOCABULARY)
+    made, rng, ids = bpe.Transducer(ranks), random.Random(6), sorted(ranks.values())
+    odd = bpe.Transducer({b"a": 0, b"b": 1, b"c": 2, b"ab": 7, b"abc": 5, b"bcab": 9, b"ca": 8})  # not of rising ranks, and not to be reached
+    for t, pairs in ((made, ((rng.choice(ids), rng.choice(ids[:1500])) for _ in range(3000))), (odd, ((a, b) for a in odd.size for b in odd.size))):
+        for a, b in pairs:
+            assert t.fits[a << 32 | b] == (bpe.merged(t.bytes_of[a] + t.bytes_of[b], t.ranks) == [t.bytes_of[a], t.bytes_of[b]])
+
+
+def test_codec_keeps_little():
+    """Texts without blanks are one word each, and are not kept; words are, up to a number, whatever comes in."""
+    codec, rng = bpe.Codec(VOCABULARY, P.PATTERN, most_pieces=50, most_words=50), random.Random(7)
+    texts = ["漢" * 5000 + str(k) for k in range(20)] + [" ".join("".join(rng.choice("etaoin.,'") for _ in range(9)) for _ in range(200))]
+    for t in texts:
+        assert sum(n for _, n in codec.counts(t)) == len(codec.encode(t)) // 4 and sum(n for n, _ in codec.counts(t)) == len(t)
+    for memo, most in ((codec.pieces, 50), (codec.words, 50), (codec.word_counts, 100)):
+        assert len(memo) <= most and len(memo.old) <= most and max(map(len, [*memo, *memo.old]), default=0) <= 64
+
+
 def test_utf8_stream():
     data = "aé漢😀z".encode() * 5
     for size in range(1, 6):
