@@ -201,19 +201,34 @@ def open_group(rows: dict[str, list], p: Params) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(low) if i != k]
 
 
+def marks_of(low: np.ndarray, limit: int) -> bytes:
+    """The tokens below the limit as 16-bit marks in ascending order, two bytes for a token's eight."""
+    return (low[: np.searchsorted(low, limit)].astype("uint64") // np.uint64((limit >> 16) + 1)).astype("<u2").tobytes()
+
+
+def told_apart(marks: bytes) -> np.ndarray:
+    """Marks as distinct numbers, equal ones by how often they came before: what two sets share of them is no less than their common tokens."""
+    found = np.frombuffer(marks, "<u2").astype("int64")
+    return found << 32 | np.arange(len(found)) - np.searchsorted(found, found)
+
+
 def may_link(a: tuple, b: tuple, percent: int) -> bool:
-    """Whether two sets (size, smallest tokens, up to where these are complete) can be similar enough: a bound, never too low."""
+    """Whether two sets (size, what is known of them, complete below one limit) can be similar enough: a bound, never too low."""
     least = -(-percent * (a[0] + b[0]) // (100 + percent))
-    upto = min(a[2], b[2])
-    own, other = a[1][: np.searchsorted(a[1], upto, "right")], b[1][: np.searchsorted(b[1], upto, "right")]
-    same = int(inside(own, other).sum())
-    return min(a[0] - len(own), b[0] - len(other)) + same >= least
+    same = int(inside(a[1], b[1]).sum())
+    return min(a[0] - len(a[1]), b[0] - len(b[1])) + same >= least
 
 
 def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """members: group, id. group, id of what is left of each group where the smallest tokens alone rule pairs out."""
+    """members: group, id. group, id of what is left of each group where the smallest tokens alone rule pairs out.
+
+    Each group that a class belongs to gets its tokens, so these travel as marks.
+    """
     limit = int(min(1.0, 1.5 * (1 - p.percent / 100)) * (1 << 63) - 1)
 
+    def marked(batch: pd.DataFrame) -> pd.DataFrame:
+        return batch[["id", "n"]].assign(marks=[marks_of(low, limit) for low in batch["low"]])
+
     def each(rows: dict[str, list]) -> list[tuple]:
         order = sorted(range(len(rows["id"])), key=lambda k: (rows["n"][k], rows["id"][k]))
         ids, top = [int(rows["id"][k]) for k in order], list(range(len(order)))
@@ -223,16 +238,16 @@ def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
                 top[i] = i = top[top[i]]
             return i
 
+        own = [told_apart(rows["marks"][k]) for k in order]
         if len(ids) <= 8:
-            sets = [(n, low, (1 << 63) - 1 if n == len(low) else max(limit - 1, int(low[-1]))) for n, low in ((rows["n"][k], rows["low"][k]) for k in order)]
+            sets = [(rows["n"][k], known) for k, known in zip(order, own, strict=True)]
             for i in range(len(sets)):
                 for j in range(i - 1, -1, -1):
                     if 100 * sets[j][0] < p.percent * sets[i][0]:
                         break
                     if first(i) != first(j) and may_link(sets[i], sets[j], p.percent):
                         top[first(i)] = first(j)
-        else:  # the same bound for all pairs at once, from the tokens under the limit, which all sets have in full
-            own = [rows["low"][k][: np.searchsorted(rows["low"][k], limit)] for k in order]
+        else:  # the same bound for all pairs at once
             n, known = np.array([rows["n"][k] for k in order]), np.array([len(x) for x in own])
             total = n[:, None] + n[None, :]
             most = np.minimum(n[:, None] - known[:, None], n[None, :] - known[None, :]) + overlaps(own, p.few)
@@ -249,7 +264,8 @@ def narrowed(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
                 out += [(name, i) for i in part]
         return out
 
-    return map_groups(members.join(classes, "id"), "group", "group long, id long", each).distinct()
+    marks = map_rows(classes.select("id", "n", "low"), "id long, n long, marks binary", lambda: marked)
+    return map_groups(members.join(marks, "id"), "group", "group long, id long", each).distinct()
 
 
 def opened(members: DataFrame, p: Params) -> DataFrame:
@@ -285,10 +301,12 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("size > 1")
     sizes = written(sizes, "sizes")
     two = sizes.filter("size = 2").select(F.array("low", "high").alias("ids"))
-    more = sizes.filter(f"size > 2 and size <= {p.most}").select("key").join(keys, "key").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
+    several = sizes.filter("size > 2").select("key", "size")
+    several = written(perhaps_among(keys, "key", several)[0].join(several, "key").select("key", "size", "id"), "several")
+    more = several.filter(f"size <= {p.most}").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
     groups = written(two.unionByName(more).distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")), "groups")
-    hot = written(sizes.filter(f"size > {p.most}").select("key", "size").join(keys, "key").select("key", "size", "id"), "hot")
-    for old in (keys, sizes):
+    hot = written(several.filter(f"size > {p.most}"), "hot")
+    for old in (keys, sizes, several):
         discard(old)
     left = written(narrowed(groups, classes, p), "groups")
     discard(groups)
