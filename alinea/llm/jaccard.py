@@ -302,7 +302,7 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Params) -> DataFram
     sizes = written(sizes, "sizes")
     two = sizes.filter("size = 2").select(F.array("low", "high").alias("ids"))
     several = sizes.filter("size > 2").select("key", "size")
-    several = written(perhaps_among(keys, "key", several)[0].join(several, "key").select("key", "size", "id"), "several")
+    several = written(keys.join(several, "key").select("key", "size", "id"), "several")
     more = several.filter(f"size <= {p.most}").groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
     groups = written(two.unionByName(more).distinct().select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("id")), "groups")
     hot = written(several.filter(f"size > {p.most}"), "hot")
