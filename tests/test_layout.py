@@ -1,6 +1,7 @@
 """Maps of layouts and texts, outlines and breadcrumbs on texts that take every branch."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,19 @@ def test_outline_and_breadcrumbs(spark):
         (1, "of three"): (3, "1.1.1 Three"), (1, "words of two"): (2, "1.1 Two"), (1, "said: words of five and more, and so on"): (5, "2 Five"), (1, "nowhere"): (None, None), (1, ""): (None, None),
         (1, None): (None, None), (3, "alone"): (0, "Introduction"), (9, "alone"): (None, None),
     }
+
+
+def test_breadcrumbs_of_rows_in_any_order(spark):
+    """Evidence that comes in another order each time it is read, as rows of several executors do."""
+
+    def mixed(batches):
+        for batch in batches:
+            yield batch.take(random.SystemRandom().sample(range(batch.num_rows), batch.num_rows))
+
+    docs = spark.createDataFrame([(d, "\n\n".join(f"{k} Scope\n\nwords of {k} in {d}." for k in range(1, 40))) for d in range(5)], "doc_id long, text string")
+    rows = [(d, f"words of {k} in {d}.") for d in range(5) for k in range(1, 40)] + [(0, "words of 7 in 0."), (1, "nowhere")]
+    evidence = spark.createDataFrame(rows, "doc_id long, e string").coalesce(1).mapInArrow(mixed, "doc_id long, e string")
+    found = layout.breadcrumbs(evidence, layout.heuristic_map(docs, "doc_id", "text"), "doc_id", "e")
+    assert found.columns == ["doc_id", "e", "section", "heading", "number"]
+    want = [(d, e, *((int(e.split()[2]), f"{e.split()[2]} Scope", e.split()[2]) if e != "nowhere" else (None,) * 3)) for d, e in rows]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
