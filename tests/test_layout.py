@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,20 @@ def test_breadcrumbs_of_rows_in_any_order(spark):
     assert found.columns == ["doc_id", "e", "section", "heading", "number"]
     want = [(d, e, *((int(e.split()[2]), f"{e.split()[2]} Scope", e.split()[2]) if e != "nowhere" else (None,) * 3)) for d, e in rows]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_long_layouts_take_their_share_of_time(spark):
+    """Twenty thousand paragraphs in one layout are not much slower than in twenty; parts are cut where two pieces of the text meet as well."""
+    parts = [f"é{k} " + "some words of it " * (k % 7) + "end." for k in range(20_000)]
+    one, many = [layout_of(parts)], [layout_of(parts[k : k + 1000]) for k in range(0, 20_000, 1000)]
+
+    def run(layouts):
+        df = spark.createDataFrame(list(enumerate(layouts)), "doc_id long, layout string").coalesce(1)
+        start = time.time()
+        rows = layout.layout_map(df, "doc_id", "layout").select("doc_id", "paragraphs").collect()
+        return time.time() - start, [p for r in sorted(rows) for p in r.paragraphs]
+
+    run(many)
+    (few_s, few), (long_s, long) = run(many), run(one)
+    assert few == long == parts
+    assert long_s < 5 * few_s + 2
