@@ -1,7 +1,7 @@
 """Which parts of a library occur in which texts, by an automaton of many patterns (goto and failure links) that texts stream past.
 
-A library within bounds is broadcast and texts stay where they are. A larger one is dealt out in shares of bounded size; each
-share meets each bucket of texts in one group, where the share comes first and the texts stream past it.
+A library within bounds is broadcast and texts stay where they are. For a larger one texts are dealt to buckets of bounded size, each
+once; a task holds a bucket, and the library streams past it, in automata of bounded size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-GROUP_CHARS = 64_000_000  # of the texts that one group gets where a library is dealt out
+GROUP_CHARS = 16_000_000  # of the texts that a task holds at a time where a library streams past them
+SHARE_PARTS, SHARE_CHARS = 100_000, 8_000_000  # that one automaton takes there
 
 
 def automaton(patterns: list[str]) -> ahocorasick.Automaton:
@@ -41,8 +42,8 @@ def first_places(machine: ahocorasick.Automaton, empty: bool, text: str) -> dict
 def found_parts(docs: DataFrame, library: DataFrame, key: str, text: str, most: int = 100_000, most_chars: int = 8_000_000, spread: int = 64) -> DataFrame:
     """key, part, at: for each row of docs the distinct parts (library.part) that its text has, and the first place of each.
 
-    Null texts and null parts match nothing. Up to `most` parts of `most_chars` characters are broadcast. Texts go to `spread` buckets
-    where a library is dealt out, or to as many as GROUP_CHARS asks for, so that no group grows with them.
+    Null texts and null parts match nothing. Up to `most` parts of `most_chars` characters are broadcast. Of a larger library each of
+    `spread` buckets of texts, or of as many as GROUP_CHARS asks for, gets a copy: texts, which are more, are shuffled once.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     parts = library.select("part").filter(F.col("part").isNotNull()).distinct()
@@ -74,36 +75,46 @@ def found_parts(docs: DataFrame, library: DataFrame, key: str, text: str, most:
 
         return rows.mapInArrow(run, out).withColumnRenamed("key", key)
 
-    shares = max(-(-n // max(most, 1)), -(-chars // max(most_chars, 1)), 1)
-    shares = min(shares, n)
     buckets = -(-rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // GROUP_CHARS)
     spread = max(spread, buckets)
-    tasks = [shares * buckets] if shares * buckets > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(spread))
-    left = parts.select(F.pmod(F.xxhash64("part"), F.lit(shares)).alias("share"), "part").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    right = rows.withColumn("bucket", bucket("key", "text")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    both = left.withColumn("is_text", F.lit(False)).unionByName(right.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
-    both = both.select((F.col("share") * spread + F.col("bucket")).alias("group"), "is_text", "part", "key", "text").repartition(*tasks, "group").sortWithinPartitions("group", "is_text")
+    right = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(spread))).withColumn("is_part", F.lit(False))
+    left = parts.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))).withColumn("is_part", F.lit(True))
+    both = left.unionByName(right, allowMissingColumns=True).select("bucket", "is_part", "part", "key", "text")
+    dealt = both.repartition(2 * spread, "bucket").sortWithinPartitions("bucket", "is_part")  # twice as many tasks: buckets of one hash share a task
+
+    def matched(held: dict[str, list], share: list[str]) -> Iterator[pa.RecordBatch]:
+        machine, empty = automaton(share), "" in share
+        keys, found = [], []
+        for text, of in held.items():
+            hits = first_places(machine, empty, text)
+            for k in of if hits else ():
+                keys += [k] * len(hits)
+                found += hits.items()
+                if len(keys) > 50_000:
+                    yield batch_of(keys, found)
+                    keys, found = [], []
+        yield batch_of(keys, found)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, patterns, machine = None, [], None
+        bucket, held, share, chars = None, {}, [], 0
         for batch in batches:
-            groups, texts = batch.column("group").to_pylist(), batch.column("is_text").to_pylist()
-            at = 0
-            while at < len(groups):
-                to = at
-                while to < len(groups) and groups[to] == groups[at] and texts[to] == texts[at]:
-                    to += 1
-                if groups[at] != group:
-                    group, patterns, machine = groups[at], [], None
-                if not texts[at]:
-                    patterns += batch.column("part").slice(at, to - at).to_pylist()
-                else:
-                    machine = machine or automaton(patterns)
-                    yield from searched(batch.slice(at, to - at), machine, "" in patterns)
-                at = to
-
-    return both.mapInArrow(walk, out).withColumnRenamed("key", key)
+            for now, part, key, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "key", "text")), strict=True):
+                if now != bucket:
+                    if held and share:
+                        yield from matched(held, share)
+                    bucket, held, share, chars = now, {}, [], 0
+                if part is None:
+                    held.setdefault(text, []).append(key)  # texts that are the same are held and read once
+                elif held:
+                    if len(share) >= SHARE_PARTS or (share and chars + len(part) > SHARE_CHARS):
+                        yield from matched(held, share)
+                        share, chars = [], 0
+                    share.append(part)
+                    chars += len(part)
+        if held and share:
+            yield from matched(held, share)
+
+    return dealt.mapInArrow(walk, out).withColumnRenamed("key", key)
 
 
 def found_items(docs: DataFrame, items: DataFrame, key: str, text: str, part: str, **bounds) -> DataFrame:

@@ -36,3 +36,31 @@ def test_random_texts(spark):
         assert sorted(map(tuple, out.collect())) == want
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     assert patterns.found_items(docs, items.limit(0), "doc_id", "text", "part").count() == 0
+
+
+def nodes(plan):
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = inner or [plan.children().apply(k) for k in range(plan.children().size())]
+    return [plan, *(x for p in below for x in nodes(p))]
+
+
+def test_texts_are_dealt_out_once(spark):
+    """However many shares a library makes, no text is copied for each of them."""
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(400)], "id long, t string")
+    found = patterns.found_parts(docs, spark.createDataFrame([(f"text {i} ",) for i in range(0, 400, 7)], "part string"), "id", "t", most=1, spread=2)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, f"text {i} ", 1) for i in range(0, 400, 7)]
+    written = [x.metrics().apply("shuffleRecordsWritten").value() for x in nodes(found._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert 400 <= sum(written) <= 400 + 4 * 58
+
+
+@pytest.mark.parametrize("parts_most,chars_most", [(1, 10**6), (7, 10**6), (100, 6), (100, 1)])
+def test_libraries_of_many_automata(spark, monkeypatch, parts_most, chars_most):
+    monkeypatch.setattr(patterns, "SHARE_PARTS", parts_most)
+    monkeypatch.setattr(patterns, "SHARE_CHARS", chars_most)
+    rng = random.Random(5)
+    texts = [(i % 50, "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))) for i in range(200)] + [(None, "ab")] * 3
+    parts = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    out = patterns.found_items(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(parts, "item_id long, part string"), "doc_id", "text", "part", most=2, spread=3)
+    want = [(d, i, t.find(p) + 1) for d, t in texts for i, p in parts if p in t]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
